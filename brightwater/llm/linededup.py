@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import ship
 
-_NO_ID = F.lit((1 << 63) - 1)
+_NO_ID = (1 << 63) - 1
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 3) -> DataFrame:
@@ -31,7 +31,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ship(docs.sparkSession)
     split = docs.select(
         F.col(id_col).alias("id"),
-        F.coalesce(F.col(id_col).cast("long"), _NO_ID).alias("o"),
+        F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("o"),
         F.xxhash64(text_col).alias("th"),
         F.split(text_col, "\n", -1).alias("lines"),
     )
