@@ -29,7 +29,7 @@ from .common import Scratch, release
 from .components import connected_components
 from .textkernel import Words, buffers, gram_hashes, mix, slices
 
-K = 128
+K = 512
 BITS = 4
 ROWS = 4
 BANDS = 24
@@ -153,8 +153,8 @@ def estimate(a: Column, b: Column) -> Column:
     return ((K - differ) / F.lit(float(K)) - chance) / (1 - chance)
 
 
-def slack(threshold: float, deviations: float = 5.2) -> float:
-    """The estimate below which a pair is given up: a pair at the threshold falls below with a chance of 1e-7."""
+def slack(threshold: float, deviations: float = 4.8) -> float:
+    """The estimate below which a pair is given up: a pair at the threshold falls below with a chance of 8e-7."""
     chance = 1.0 / (1 << BITS)
     p = threshold + (1 - threshold) * chance
     return (p - deviations * math.sqrt(p * (1 - p) / K) - chance) / (1 - chance)
