@@ -30,6 +30,8 @@ from .components import connected_components
 from .textkernel import Words, buffers, gram_hashes, mix, slices
 
 K = 512
+#: Minima that are compared first; most pairs need no more.
+ROUGH = 128
 BITS = 4
 ROWS = 4
 BANDS = 24
@@ -138,26 +140,26 @@ def _confirmer(numerator: int, denominator: int):
     return confirm
 
 
-def estimate(a: Column, b: Column) -> Column:
+def estimate(a: Column, b: Column, minima: int = K) -> Column:
     """Similarity from packed signatures: share of equal b-bit groups, less what chance makes equal."""
     ones = sum(1 << (BITS * k) for k in range(_PER_LONG))
     ones = ones - (1 << 64) if ones >= 1 << 63 else ones
     differ = F.lit(0)
-    for i in range(K // _PER_LONG):
+    for i in range(minima // _PER_LONG):
         x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
         folded = x
         for shift in range(1, BITS):
             folded = folded.bitwiseOR(F.shiftrightunsigned(x, shift))
         differ = differ + F.bit_count(folded.bitwiseAND(F.lit(ones)))
     chance = 1.0 / (1 << BITS)
-    return ((K - differ) / F.lit(float(K)) - chance) / (1 - chance)
+    return ((minima - differ) / F.lit(float(minima)) - chance) / (1 - chance)
 
 
-def slack(threshold: float, deviations: float = 4.8) -> float:
+def slack(threshold: float, minima: int = K, deviations: float = 4.8) -> float:
     """The estimate below which a pair is given up: a pair at the threshold falls below with a chance of 8e-7."""
     chance = 1.0 / (1 << BITS)
     p = threshold + (1 - threshold) * chance
-    return (p - deviations * math.sqrt(p * (1 - p) / K) - chance) / (1 - chance)
+    return (p - deviations * math.sqrt(p * (1 - p) / minima) - chance) / (1 - chance)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, numerator: int = 80, denominator: int = 100) -> DataFrame:
@@ -189,7 +191,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = scratch.put("members", banded.join(groups, "key"))
 
     sketch = reps.select("id", "n", "sig")
-    limit = slack(numerator / denominator)
+    limit, rough = slack(numerator / denominator), slack(numerator / denominator, ROUGH)
 
     def plausible(pairs: DataFrame) -> DataFrame:
         a = sketch.select(F.col("id").alias("u"), F.col("n").alias("nu"), F.col("sig").alias("su"))
@@ -198,7 +200,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def _may_link(nu: str, nv: str, su: str, sv: str) -> Column:
         sizes = denominator * F.least(nu, nv) >= numerator * F.greatest(nu, nv)
-        return sizes & (estimate(F.col(su), F.col(sv)) >= limit)
+        return sizes & (estimate(F.col(su), F.col(sv), ROUGH) >= rough) & (estimate(F.col(su), F.col(sv)) >= limit)
 
     wanted = members.select("id").distinct()
     texts = source.join(wanted.hint("shuffle_hash"), "id", "left_semi")
