@@ -10,9 +10,10 @@ from .common import ship
 _NO_ID = (1 << 63) - 1
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 3) -> DataFrame:
-    """One row per input row: (id, n_lines, n_removed, text).
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: (id, n_lines, n_removed, text, *keep).
 
+    keep: columns of the input to pass through.
     Lines are split at line feeds.  A window is `window` consecutive lines of one
     document; of equal windows the first, by (id, position), stands, and lines
     covered by any later one are removed.  Windows are judged on the input.
@@ -34,7 +35,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("o"),
         F.xxhash64(text_col).alias("th"),
         F.split(text_col, "\n", -1).alias("lines"),
+        *[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)],
     )
+    held = [f"_k{i}" for i in range(len(keep))]
     hashed = split.where(F.size("lines") >= window).select("o", "th", F.transform("lines", lambda x: F.xxhash64(x)).alias("a"), F.transform("lines", lambda x: F.xxhash64(F.lit(97), x)).alias("b"))
 
     def gram(column: str, seed: int):
@@ -62,10 +65,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     kept = F.when(F.col("s").isNull(), F.col("lines")).otherwise(F.flatten(F.transform(F.sequence(F.lit(0), m), between)))
     lines = F.coalesce(n, F.lit(0)).cast("long")
-    rebuilt = marked.select("id", F.when(F.col("lines").isNull(), F.lit(0)).otherwise(lines).cast("long").alias("n_lines"), kept.alias("kept"))
+    rebuilt = marked.select("id", F.when(F.col("lines").isNull(), F.lit(0)).otherwise(lines).cast("long").alias("n_lines"), kept.alias("kept"), *held)
     return rebuilt.select(
         F.col("id").alias(id_col),
         "n_lines",
         F.when(F.col("kept").isNull(), F.lit(0)).otherwise(F.col("n_lines") - F.size("kept")).cast("long").alias("n_removed"),
         F.array_join("kept", "\n").alias("text"),
+        *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)],
     )

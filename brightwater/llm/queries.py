@@ -8,11 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import langid, piecesample, toxicity
 from .common import table
+from .embeddings import near_vectors
+from .licenses import scan_licenses
 from .linededup import line_dedup
 from .minhash import near_duplicates
 from .packing import pack
 from .substring import substring_dedup
+from .topk import exact_topk
 
 #: Folder of the public tokenizers' files; a parameter of the operators that use them.
 TOKENIZER = public_tokenizers.path
@@ -50,6 +54,39 @@ FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
 """
 
 
+def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+OP3_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+n AS (SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, x -> x * x))) AS s FROM v),
+e AS (SELECT a.vec_id AS u, b.vec_id AS w FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id
+      WHERE a.s > 0 AND b.s > 0 AND list_inner_product(a.e, b.e) / (a.s * b.s) >= 0.93),
+r AS (SELECT vec_id AS u, vec_id AS w FROM embeddings UNION SELECT r.u, e.w FROM r JOIN e ON r.w = e.u),
+c AS (SELECT u, min(w) AS m FROM r GROUP BY u),
+k AS (SELECT u, count(*) AS n FROM e GROUP BY u)
+SELECT t.vec_id, CAST(coalesce(k.n, 0) AS BIGINT) AS n_links, m AS component_id, m = t.vec_id AS kept
+FROM embeddings t JOIN c ON c.u = t.vec_id LEFT JOIN k ON k.u = t.vec_id
+"""
+
+
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs, langid.bucket("doc_id", 4) != 2, TOKENIZER("piece_bpe_32k.model"))
+    found = langid.identify(docs, model)
+    return found.select("doc_id", (langid.bucket("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), langid.bucket("doc_id", 5) != 0)
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (langid.bucket("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = substring_dedup(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_words", "n_removed", F.sha2(joined_words("text"), 256).alias("kept_sha256"))
@@ -70,6 +107,32 @@ FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
 """
 
 
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+OP7_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+      FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 5
+"""
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op10_sample_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = TOKENIZER("piece_bpe_32k.model")
+    coded = piecesample.encode(table(spark, sf_dir, "documents"), model, keep=("text",))
+    both = piecesample.decode(coded, model)
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.sha2(piecesample.ids_text("ids"), 256).alias("ids_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"), numerator=85)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
@@ -93,12 +156,20 @@ FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN c ON c.u = d.doc_id
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_line_dedup": op2_line_dedup,
+    "op3_near_vectors": op3_near_vectors,
+    "op4_langid": op4_langid,
+    "op5_toxicity": op5_toxicity,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_topk": op7_topk,
+    "op8_licenses": op8_licenses,
     "op9_minhash": op9_minhash,
+    "op10_sample_pieces": op10_sample_pieces,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": OP2_SQL,
+    "op3_near_vectors": OP3_SQL,
+    "op7_topk": OP7_SQL,
     "op6_substring_dedup": OP6_SQL,
     "op9_minhash": OP9_SQL,
 }

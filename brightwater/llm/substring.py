@@ -198,7 +198,9 @@ def _cutter(window: int):
             spans.append([{"start": int(s), "length": int(e - s)} for s, e in zip(starts, ends, strict=True)])
         ids_out = docs["id"].combine_chunks().take(pa.array(order))
         kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
-        return pa.table({"id": ids_out, "n_words": pa.array(np.diff(words.first), pa.int64()), "n_removed": pa.array(removed, pa.int64()), "text": pa.array(out, pa.binary()).cast(pa.string()), "spans": pa.array(spans, kind)})
+        place = pa.array(order)
+        held = {c: docs[c].take(place) for c in docs.column_names if c.startswith("_k")}
+        return pa.table({"id": ids_out, "n_words": pa.array(np.diff(words.first), pa.int64()), "n_removed": pa.array(removed, pa.int64()), "text": pa.array(out, pa.binary()).cast(pa.string()), "spans": pa.array(spans, kind), **held})
 
     return cut
 
@@ -224,12 +226,12 @@ class FingerprintIndex:
     def add(self, docs: DataFrame, bounds: list[int], keep: bool = True) -> DataFrame:
         """(id, n_words, n_removed, text, spans) of a generation; keep: the index takes it in.
 
-        docs: (id, text).  bounds: sorted ids at which a new batch begins.
+        docs: (id, text), and columns _k0, _k1 and so on to pass through.  bounds: sorted ids at which a new batch begins.
         """
         g = self.generation = self.generation + 1
         batch = F.size(F.filter(F.lit(bounds).cast("array<long>"), lambda b: b <= F.col("id"))) if bounds else F.lit(0)
         batched = docs.withColumn("batch", F.when(F.col("id").isNull(), F.lit(len(bounds))).otherwise(batch).cast("long"))
-        sent = batched.groupBy("batch").applyInArrow(_sender(self.window, self.bits), "bucket long, batch long, payload binary")
+        sent = batched.select("id", "text", "batch").groupBy("batch").applyInArrow(_sender(self.window, self.bits), "bucket long, batch long, payload binary")
         history = self._empty()
         for _, name in self.runs:
             history = history.unionAll(self.scratch.get(name, history))
@@ -240,7 +242,7 @@ class FingerprintIndex:
         release(self.spark)
         answers = merged.where("kind = 'answer'").select("batch", "payload")
         done = batched.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(
-            _cutter(self.window), "id long, n_words long, n_removed long, text string, spans array<struct<start:long,length:long>>"
+            _cutter(self.window), "id long, n_words long, n_removed long, text string, spans array<struct<start:long,length:long>>" + "".join(f", {c} {t}" for c, t in docs.dtypes if c.startswith("_k"))
         )
         if keep:
             self.runs.append((0, f"merged-{g}/kind=run"))
@@ -261,9 +263,10 @@ class FingerprintIndex:
             release(self.spark)
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, generations: int = 3, batch_bytes: int = 8 << 20, bucket_windows: int = 1 << 20) -> DataFrame:
-    """One row per input row: (id, n_words, n_removed, text, spans).
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, generations: int = 3, batch_bytes: int = 8 << 20, bucket_windows: int = 1 << 20, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: (id, n_words, n_removed, text, spans, *keep).
 
+    keep: columns of the input to pass through.
     Words are runs of bytes other than 0x20 and 0x09-0x0D.  A word is removed when
     a window of `window` words that covers it also starts in a document with a
     smaller id.  text is the input without the removed words (and the separators
@@ -279,7 +282,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     kind = dict(docs.dtypes)[id_col]
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)])
     size = source.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     batches = max(1, math.ceil(size / batch_bytes))
     generations = max(generations, math.ceil(batches / 4096))
@@ -306,4 +309,4 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = parts[0]
     for part in parts[1:]:
         out = out.unionAll(part)
-    return out.withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)
+    return out.select(F.col("id").cast(kind).alias(id_col), "n_words", "n_removed", "text", "spans", *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)])

@@ -20,6 +20,8 @@ _IS_WORD = np.ones(256, dtype=bool)
 _IS_WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
+#: ASCII letters and digits, and all bytes of other characters.
+ALNUM = np.array([chr(i).isalnum() if i < 128 else True for i in range(256)])
 #: Bytes of text that are hashed at a time; bounds the working arrays.
 SEGMENT = 1 << 20
 
@@ -74,9 +76,9 @@ class Words:
 
     __slots__ = ("start", "end", "doc", "hash", "first")
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, in_word: np.ndarray = _IS_WORD):
         n_docs = len(offsets) - 1
-        word = _IS_WORD[data]
+        word = in_word[data]
         edge = offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < len(data))]
         before = np.empty_like(word)
         after = np.empty_like(word)
