@@ -37,7 +37,8 @@ def pack(hashes: np.ndarray, checks: np.ndarray) -> bytes:
     delta = np.diff(hashes)
     width = max(1, (int(delta.max()).bit_length() + 7) // 8) if n > 1 else 1
     head = np.array([n, width, hashes[0]], np.uint64).tobytes()
-    return head + np.ascontiguousarray(delta).view(np.uint8).reshape(-1, 8)[:, :width].tobytes() + checks.astype(np.uint16).tobytes()
+    planes = np.ascontiguousarray(np.ascontiguousarray(delta).view(np.uint8).reshape(-1, 8)[:, :width].T)  # the high bytes, mostly zeros, stand together
+    return head + planes.tobytes() + checks.astype(np.uint16).tobytes()
 
 
 def unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -46,7 +47,7 @@ def unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     n, width, first = (int(x) for x in np.frombuffer(raw, np.uint64, 3))
     at = 24 + (n - 1) * width
     wide = np.zeros((n, 8), np.uint8)
-    wide[1:, :width] = np.frombuffer(raw, np.uint8, (n - 1) * width, 24).reshape(-1, width)
+    wide[1:, :width] = np.frombuffer(raw, np.uint8, (n - 1) * width, 24).reshape(width, -1).T
     deltas = wide.view(np.uint64).reshape(-1)
     deltas[0] = first
     return np.cumsum(deltas, dtype=np.uint64), np.frombuffer(raw, np.uint16, n, at)
@@ -212,7 +213,7 @@ class FingerprintIndex:
     are 2**bits; choose so that a bucket of all windows fits a task's memory.
     """
 
-    FAN_IN = 2
+    FAN_IN = 4
 
     def __init__(self, spark: SparkSession, window: int = 13, bits: int = 6):
         self.scratch = Scratch(spark, "substring")
@@ -249,6 +250,12 @@ class FingerprintIndex:
             self.compact()
         return done
 
+    def close(self) -> None:
+        """Give up the runs."""
+        self.scratch.drop(*[name for _, name in self.runs])
+        self.runs = []
+        release(self.spark)
+
     def compact(self) -> None:
         """Merge the newest runs while FAN_IN of them are of one tier."""
         while len(self.runs) >= self.FAN_IN and len({tier for tier, _ in self.runs[-self.FAN_IN :]}) == 1:
@@ -305,7 +312,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             part = part.where(F.col("id") < high)
         inner = sorted(set(bounds[g * per : (g + 1) * per - 1])) if bounds else []
         done = index.add(part, inner, keep=g < generations - 1)
-        parts.append(index.scratch.put(f"done-{g}", done) if g < generations - 1 else done)
+        parts.append(done)
+    # the answers are all there; what is left to do reads them and the texts
+    index.close()
     out = parts[0]
     for part in parts[1:]:
         out = out.unionAll(part)
