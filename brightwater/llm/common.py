@@ -42,6 +42,18 @@ def shared_dir(spark: SparkSession) -> str:
     return current.get().rstrip("/")
 
 
+@contextlib.contextmanager
+def _shuffles_dropped(spark: SparkSession):
+    """Queries that run inside leave no shuffle files: what they wrote takes their place."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class Scratch:
     """Tables written as Parquet under one folder of the shared directory.
 
@@ -63,7 +75,8 @@ class Scratch:
         writer = df.write.mode("overwrite")
         if partition_by:
             writer = writer.partitionBy(*partition_by)
-        writer.parquet(f"{self.root}/{name}")
+        with _shuffles_dropped(self.spark):
+            writer.parquet(f"{self.root}/{name}")
         return self.get(name, df)
 
     def get(self, name: str, like: DataFrame) -> DataFrame:
