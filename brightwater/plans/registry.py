@@ -32,3 +32,8 @@ def both(name: str, spark_sql: str, oracle: str | None = None, *tables: str) ->
         return spark.sql(spark_sql)
 
     register(name, spark_sql if oracle is None else oracle)(run)
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    from . import domain, relational, scalar, windowed  # noqa: F401
