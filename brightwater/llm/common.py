@@ -6,27 +6,10 @@ import contextlib
 import gc
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Give this package to the Python workers, once for each application."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    package = Path(__file__).resolve().parent.parent
-    archive = Path(tempfile.mkdtemp(prefix="brightwater-code-")) / "brightwater_code.zip"
-    with zipfile.ZipFile(archive, "w") as out:
-        for file in package.rglob("*.py"):
-            out.write(file, file.relative_to(package.parent))
-    spark.sparkContext.addPyFile(str(archive))
-    _shipped.add(app)
+from ..session import ship
 
 
 def shared_dir(spark: SparkSession) -> str:
