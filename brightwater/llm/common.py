@@ -65,6 +65,9 @@ class Scratch:
     def get(self, name: str, like: DataFrame) -> DataFrame:
         return self.spark.read.schema(like.schema).parquet(f"{self.root}/{name}")
 
+    def has(self, name: str) -> bool:
+        return self._fs.exists(self._path(f"{self.root}/{name}"))
+
     def drop(self, *names: str) -> None:
         for name in names:
             self._fs.delete(self._path(f"{self.root}/{name}"), True)

@@ -220,7 +220,7 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str, id_col: str = "doc_id
         held = pool.agg(F.count("*").alias("n"), (F.countDistinct("sequence_id") if r else F.lit(0)).alias("bins")).first()
         if r and held["bins"] < 2:
             break
-        parts = max(1, round(held["n"] / part_pieces))
+        parts = max(1, round(held["n"] / (part_pieces * 2**r)))  # wider with each exchange
         part = F.pmod(F.xxhash64(F.lit(r), "id", "piece", "ids_crc32"), F.lit(parts))
         dealt = pool.select("id", "piece", "start", "length", "ids_crc32", part.alias("part"))
         packed = scratch.put(f"round-{r}", dealt.groupBy("part").applyInArrow(_packer(capacity, r), _PLACED))

@@ -245,7 +245,7 @@ class FingerprintIndex:
         done = batched.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(
             _cutter(self.window), "id long, n_words long, n_removed long, text string, spans array<struct<start:long,length:long>>" + "".join(f", {c} {t}" for c, t in docs.dtypes if c.startswith("_k"))
         )
-        if keep:
+        if keep and self.scratch.has(f"merged-{g}/kind=run"):  # not where no window was new
             self.runs.append((0, f"merged-{g}/kind=run"))
             self.compact()
         return done
