@@ -224,12 +224,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = own.join(of_pivot, "pivot", "left").select("key", "id", "c", F.coalesce("pc", "pivot").alias("pc"), "pivot")
     apart = scratch.put("apart", own.where("c != pc"))
     open_groups = apart.select("key").distinct()
-    group = own.join(open_groups, "key", "left_semi").where("id != pivot").join(sketch, "id")
-    x = apart.join(sketch, "id").select("key", F.col("id").alias("u"), F.col("c").alias("cu"), F.col("n").alias("nu"), F.col("sig").alias("su"), F.col("pc").alias("pu"))
-    y = group.select("key", F.col("id").alias("v"), F.col("c").alias("cv"), F.col("n").alias("nv"), F.col("sig").alias("sv"), F.col("pc").alias("pv"))
+    seen = reps.select("id", "n", "sig", "bands")
+    group = own.join(open_groups, "key", "left_semi").where("id != pivot").join(seen, "id")
+    x = apart.join(seen, "id").select("key", F.col("id").alias("u"), F.col("c").alias("cu"), F.col("n").alias("nu"), F.col("sig").alias("su"), F.col("bands").alias("bu"))
+    y = group.select("key", F.col("id").alias("v"), F.col("c").alias("cv"), F.col("n").alias("nv"), F.col("sig").alias("sv"), F.col("bands").alias("bv"), F.col("pc").alias("pv"))
     # two members that both stand apart meet once
     once = (F.col("cv") == F.col("pv")) | (F.col("u") < F.col("v"))
-    rest = x.join(y, "key").where((F.col("cu") != F.col("cv")) & once & _may_link("nu", "nv", "su", "sv"))
+    # a pair is tested in the first band that both share: there one of them is the pivot, and was tested, or stands apart
+    first_band = F.coalesce(*[F.when(F.get("bu", F.lit(i)) == F.get("bv", F.lit(i)), F.get("bu", F.lit(i))) for i in range(BANDS)])
+    rest = x.join(y, "key").where((F.col("cu") != F.col("cv")) & once & (first_band == F.col("key")) & _may_link("nu", "nv", "su", "sv"))
     later = scratch.put("links-2", confirmed(rest.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()))
     final = connected_components(first.select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(later), scratch, "cc2")
 
