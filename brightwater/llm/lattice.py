@@ -37,22 +37,24 @@ class Vocabulary:
         self.longest = max(map(len, pieces))
         if self.longest > _BLOCK:
             raise ValueError("pieces are longer than a block")
+        #: For each length: sorted hashes of all pieces' beginnings, the piece that is just that (or -1), whether any goes on.
         self._by_length = []
         lengths = np.array([len(p) for p in pieces])
+        code = np.zeros((self.size, self.longest), np.uint64)
+        for i, piece in enumerate(pieces):
+            code[i, : len(piece)] = [ord(c) + 1 for c in piece]
+        h = np.zeros(self.size, np.uint64)
         for n in range(1, self.longest + 1):
-            own = np.flatnonzero(lengths == n)
-            keys = np.array([self._key(pieces[i]) for i in own], np.uint64)
-            order = np.argsort(keys)
-            if len(np.unique(keys)) != len(keys):
+            h = h * _B + code[:, n - 1]
+            own = np.flatnonzero(lengths >= n)
+            keys, slot = np.unique(mix(h[own]), return_inverse=True)
+            whole, longer = lengths[own] == n, np.zeros(len(keys), bool)
+            number = np.full(len(keys), -1)
+            number[slot[whole]] = own[whole]
+            longer[slot[~whole]] = True
+            if len(keys) != len({pieces[i][:n] for i in own}):
                 raise ValueError("two pieces share a hash")
-            self._by_length.append((keys[order], own[order]))
-
-    @staticmethod
-    def _key(piece: str) -> np.uint64:
-        h = np.zeros(1, np.uint64)
-        for c in piece:
-            h = h * _B + np.uint64(ord(c) + 1)
-        return mix(h)[0]
+            self._by_length.append((keys, number, longer))
 
     def lattice(self, codes: np.ndarray, lengths: np.ndarray) -> Lattice:
         return Lattice(self, codes, lengths)
@@ -83,15 +85,18 @@ class Lattice:
                 break
             value = h[at] * _B + code[at + n - 1]
             h[at] = value
-            keys, pieces = vocabulary._by_length[n - 1]
+            keys, pieces, longer = vocabulary._by_length[n - 1]
             value = mix(value)
             slot = np.searchsorted(keys, value)
             slot[slot == len(keys)] = 0
-            hit = keys[slot] == value if len(keys) else np.zeros(len(at), bool)
-            found_at.append(at[hit]), found_len.append(np.full(int(hit.sum()), n)), found_piece.append(pieces[slot[hit]])
+            begins = keys[slot] == value
+            piece = np.where(begins, pieces[slot], -1)
+            hit = piece >= 0
+            found_at.append(at[hit]), found_len.append(np.full(int(hit.sum()), n)), found_piece.append(piece[hit])
             if n == 1:
                 miss = at[~hit]
                 found_at.append(miss), found_len.append(np.ones(len(miss), np.int64)), found_piece.append(np.full(len(miss), vocabulary.size))
+            at = at[begins & longer[slot]]
         start = np.concatenate(found_at) if found_at else np.empty(0, np.int64)
         size = np.concatenate(found_len) if found_len else np.empty(0, np.int64)
         piece = np.concatenate(found_piece) if found_piece else np.empty(0, np.int64)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,58 +43,106 @@ def _utf8(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return raw, 1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000)
 
 
-def sample_ids(vocabulary, weight: np.ndarray, texts: list[str], seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts end to end, and the bounds of each."""
-    from .lattice import LITERAL, SPACE, word_codes
-
-    segments = [_SEGMENT.findall(t) for t in texts]
-    index: dict[str, int] = {}
-    flat = [s for one in segments for s in one]
-    which = np.fromiter((index.setdefault(s, len(index)) for s in flat), np.int64, len(flat))
-    if not len(flat):
-        return np.empty(0, np.int64), np.zeros(len(texts) + 1, np.int64)
-    doc = np.repeat(np.arange(len(texts)), [len(one) for one in segments])
-    lattice = vocabulary.lattice(*word_codes(list(index)))
-    _, share = lattice.forward(weight, shares=True)
-    # edges of a node stand together; whole numbers part the nodes, chances the edges
-    new = np.concatenate([[True], lattice.end[1:] != lattice.end[:-1]])
-    rank = np.cumsum(new) - 1
-    running = np.cumsum(share)
-    begin = (running - share)[new]
-    ladder = rank + np.minimum(running - begin[rank], 1.0)
-    last = np.flatnonzero(np.append(new[1:], True))
-    ladder[last] = rank[last] + 1.0
-    rank_of = np.full(int(lattice.lengths.sum()) + len(lattice.lengths), -1)
-    rank_of[lattice.end] = rank
-    sizes = lattice.lengths[which]
-    place = np.cumsum(sizes) - sizes  # of each occurrence, in characters of its text
-    place -= np.repeat(place[np.searchsorted(doc, np.arange(len(texts))).clip(max=len(doc) - 1)], [len(one) for one in segments]) if len(doc) else 0
-    root = (lattice.first + np.arange(len(lattice.lengths)))[which]
-    node, active = root + sizes, np.arange(len(which))
-    taken, owner = [], []
-    while len(active):
-        u = _uniform(seeds[doc[active]], place[active] + node[active] - root[active])
-        edge = np.searchsorted(ladder, rank_of[node[active]] + u, "right")
-        taken.append(edge), owner.append(active)
-        node[active] = lattice.start[edge]
-        active = active[node[active] > root[active]]
-    edge, owner = np.concatenate(taken), np.concatenate(owner)
-    order = np.lexsort((lattice.start[edge], owner))
-    edge, owner = edge[order], owner[order]
-    piece = lattice.piece[edge]
-    bytewise = piece == vocabulary.size
-    ids = np.where(bytewise, 0, vocabulary.ids[np.minimum(piece, vocabulary.size - 1)])
-    count = np.ones(len(ids), np.int64)
-    owners = doc[owner]
-    if bytewise.any():
-        codes = lattice.codes[lattice.start_char[edge[bytewise]]]
-        codes = np.where(codes == LITERAL, SPACE, np.where(codes == SPACE, 0x20, codes))
-        raw, width = _utf8(codes)
-        count[bytewise] = width
-        spread = np.repeat(bytewise, count)
-        ids, owners = np.repeat(ids, count), np.repeat(owners, count)
-        ids[spread] = vocabulary.byte_ids[raw]
-    return ids, np.searchsorted(owners, np.arange(len(texts) + 1))
+class Sampler:
+    """Lattices of segments, kept from slice to slice, and draws from them.
+
+    Chances are held per node, so a draw never depends on what else is kept.
+    """
+
+    #: Edges that are kept; beyond them all are dropped before the next slice.
+    LIMIT = 4_000_000
+
+    def __init__(self, vocabulary, weight: np.ndarray):
+        self.vocabulary, self.weight = vocabulary, weight
+        self._clear()
+
+    def _clear(self) -> None:
+        self.index: dict[str, int] = {}
+        none = np.empty(0, np.int64)
+        #: By segment: the number of its first node, and its characters.
+        self.root, self.size = none, none
+        #: By node: its first edge (of those that end in it).
+        self.first = none
+        #: By edge: chances up to and with it, the node it starts from, its piece, its first character.
+        self.ladder, self.start, self.piece, self.code = np.empty(0), none, none, none
+
+    def _add(self, fresh: list[str]) -> None:
+        from .lattice import word_codes
+
+        lattice = self.vocabulary.lattice(*word_codes(fresh))
+        _, share = lattice.forward(self.weight, shares=True)
+        new = np.flatnonzero(np.concatenate([[True], lattice.end[1:] != lattice.end[:-1]]))
+        size = np.diff(np.append(new, len(share)))
+        ladder = share
+        for k in range(1, int(size.max())):
+            at = new[size > k] + k
+            ladder[at] += ladder[at - 1]
+        ladder[new + size - 1] = 1.0
+        nodes = len(self.first)
+        first = np.full(int(lattice.lengths.sum()) + len(fresh), -1)
+        first[lattice.end[new]] = new + len(self.ladder)
+        self.index.update(zip(fresh, range(len(self.root), len(self.root) + len(fresh)), strict=True))
+        self.root = np.concatenate([self.root, lattice.first + np.arange(len(fresh)) + nodes])
+        self.size = np.concatenate([self.size, lattice.lengths])
+        self.first = np.concatenate([self.first, first])
+        self.ladder = np.concatenate([self.ladder, ladder])
+        self.start = np.concatenate([self.start, lattice.start + nodes])
+        self.piece = np.concatenate([self.piece, lattice.piece])
+        self.code = np.concatenate([self.code, lattice.codes[lattice.start_char]])
+
+    def sample(self, texts: list[str], seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, and the bounds of each."""
+        from .lattice import LITERAL, SPACE
+
+        segments = [_SEGMENT.findall(t) for t in texts]
+        held = np.fromiter(map(len, segments), np.int64, len(texts))
+        if not held.any():
+            return np.empty(0, np.int64), np.zeros(len(texts) + 1, np.int64)
+        coded = pa.array(chain.from_iterable(segments), pa.large_string()).dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        if len(self.ladder) > self.LIMIT:
+            self._clear()
+        if fresh := [s for s in distinct if s not in self.index]:
+            self._add(fresh)
+        which = np.fromiter(map(self.index.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
+        doc = np.repeat(np.arange(len(texts)), held)
+        sizes, root = self.size[which], self.root[which]
+        place = np.cumsum(sizes) - sizes  # of each occurrence, in characters of its text
+        at = np.cumsum(held) - held
+        place -= np.repeat(place[at.clip(max=len(doc) - 1)], held)
+        seed = seeds[doc]
+        node, active = root + sizes, np.arange(len(which))
+        taken, owner = [], []
+        while len(active):
+            here = node[active]
+            edge, u = self.first[here], _uniform(seed[active], place[active] + here - root[active])
+            higher = np.flatnonzero(u >= self.ladder[edge])
+            while len(higher):
+                edge[higher] += 1
+                higher = higher[u[higher] >= self.ladder[edge[higher]]]
+            taken.append(edge), owner.append(active)
+            node[active] = here = self.start[edge]
+            active = active[here > root[active]]
+        # pieces come last first; each step has one for each segment that is not at its start
+        count = np.zeros(len(which), np.int64)
+        for own in owner:
+            count[own] += 1
+        end, edges = np.cumsum(count), np.empty(int(count.sum()), np.int64)
+        for k, (edge, own) in enumerate(zip(taken, owner, strict=True)):
+            edges[end[own] - 1 - k] = edge
+        piece, owners = self.piece[edges], np.repeat(doc, count)
+        bytewise = piece == self.vocabulary.size
+        ids = np.where(bytewise, 0, self.vocabulary.ids[np.minimum(piece, self.vocabulary.size - 1)])
+        if bytewise.any():
+            codes = self.code[edges[bytewise]]
+            codes = np.where(codes == LITERAL, SPACE, np.where(codes == SPACE, 0x20, codes))
+            raw, width = _utf8(codes)
+            count = np.ones(len(ids), np.int64)
+            count[bytewise] = width
+            spread = np.repeat(bytewise, count)
+            ids, owners = np.repeat(ids, count), np.repeat(owners, count)
+            ids[spread] = self.vocabulary.byte_ids[raw]
+        return ids, np.searchsorted(owners, np.arange(len(texts) + 1))
 
 
 def _encoder(path: str, theta: float, seed: int):
@@ -100,15 +150,15 @@ def _encoder(path: str, theta: float, seed: int):
         from brightwater.llm import lattice
 
         vocabulary = lattice.vocabulary(path)
-        weight = piece_weights(vocabulary, theta)
+        sampler = Sampler(vocabulary, piece_weights(vocabulary, theta))
         for batch in batches:
             for a, b in slices(batch.column(1), 1 << 20):
                 seeds = mix(batch.column(0).slice(a, b - a).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) + np.uint64(seed))
                 texts = batch.column(1).slice(a, b - a)
-                ids, bounds = sample_ids(vocabulary, weight, texts.fill_null("").to_pylist(), seeds)
+                ids, bounds = sampler.sample(texts.fill_null("").to_pylist(), seeds)
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 if texts.null_count:
-                    lists = pa.array([None if t is None else x for t, x in zip(texts.to_pylist(), lists.to_pylist(), strict=True)], pa.list_(pa.int32()))
+                    lists = pc.if_else(texts.is_null(), pa.scalar(None, lists.type), lists)
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[2:]), lists], names=[*batch.schema.names[2:], "ids"])
 
     return encode
@@ -124,12 +174,13 @@ def _decoder(path: str, column: int):
             table[i] = piece.replace("▁", " ").encode()
         for value, i in enumerate(vocabulary.byte_ids.tolist()):
             table[i] = bytes([value])
-        get = table.__getitem__
+        parts = pa.array(table, pa.binary())
         for batch in batches:
             for a in range(0, batch.num_rows, 200):
                 part = batch.slice(a, 200)
-                texts = [None if ids is None else b"".join(map(get, ids)) for ids in part.column(column).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary()).cast(pa.string())], names=[*part.schema.names, "decoded"])
+                ids = part.column(column)
+                lists = pa.ListArray.from_arrays(pc.subtract(ids.offsets, ids.offsets[0]), parts.take(ids.flatten())) if not ids.null_count else pa.array([None if x is None else [table[i] for i in x] for x in ids.to_pylist()], pa.list_(pa.binary()))
+                yield pa.RecordBatch.from_arrays([*part.columns, pc.binary_join(lists, b"").cast(pa.string())], names=[*part.schema.names, "decoded"])
 
     return decode
 
