@@ -50,7 +50,7 @@ class Sampler:
     """
 
     #: Edges that are kept; beyond them all are dropped before the next slice.
-    LIMIT = 4_000_000
+    LIMIT = 1_000_000
 
     def __init__(self, vocabulary, weight: np.ndarray):
         self.vocabulary, self.weight = vocabulary, weight
@@ -58,13 +58,13 @@ class Sampler:
 
     def _clear(self) -> None:
         self.index: dict[str, int] = {}
-        none = np.empty(0, np.int64)
+        none = np.empty(0, np.int32)
         #: By segment: the number of its first node, and its characters.
         self.root, self.size = none, none
         #: By node: its first edge (of those that end in it).
         self.first = none
         #: By edge: chances up to and with it, the node it starts from, its piece, its first character.
-        self.ladder, self.start, self.piece, self.code = np.empty(0), none, none, none
+        self.ladder, self.start, self.piece, self.code = np.empty(0), none, none, none.astype(np.uint32)
 
     def _add(self, fresh: list[str]) -> None:
         from .lattice import word_codes
@@ -79,16 +79,20 @@ class Sampler:
             ladder[at] += ladder[at - 1]
         ladder[new + size - 1] = 1.0
         nodes = len(self.first)
-        first = np.full(int(lattice.lengths.sum()) + len(fresh), -1)
+        first = np.full(int(lattice.lengths.sum()) + len(fresh), -1, np.int32)
         first[lattice.end[new]] = new + len(self.ladder)
         self.index.update(zip(fresh, range(len(self.root), len(self.root) + len(fresh)), strict=True))
-        self.root = np.concatenate([self.root, lattice.first + np.arange(len(fresh)) + nodes])
-        self.size = np.concatenate([self.size, lattice.lengths])
-        self.first = np.concatenate([self.first, first])
-        self.ladder = np.concatenate([self.ladder, ladder])
-        self.start = np.concatenate([self.start, lattice.start + nodes])
-        self.piece = np.concatenate([self.piece, lattice.piece])
-        self.code = np.concatenate([self.code, lattice.codes[lattice.start_char]])
+
+        def more(held: np.ndarray, added: np.ndarray) -> np.ndarray:
+            return np.concatenate([held, added.astype(held.dtype)])
+
+        self.root = more(self.root, lattice.first + np.arange(len(fresh)) + nodes)
+        self.size = more(self.size, lattice.lengths)
+        self.first = more(self.first, first)
+        self.ladder = more(self.ladder, ladder)
+        self.start = more(self.start, lattice.start + nodes)
+        self.piece = more(self.piece, lattice.piece)
+        self.code = more(self.code, lattice.codes[lattice.start_char])
 
     def sample(self, texts: list[str], seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and the bounds of each."""
@@ -106,7 +110,7 @@ class Sampler:
             self._add(fresh)
         which = np.fromiter(map(self.index.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
         doc = np.repeat(np.arange(len(texts)), held)
-        sizes, root = self.size[which], self.root[which]
+        sizes, root = self.size[which].astype(np.int64), self.root[which]
         place = np.cumsum(sizes) - sizes  # of each occurrence, in characters of its text
         at = np.cumsum(held) - held
         place -= np.repeat(place[at.clip(max=len(doc) - 1)], held)
@@ -134,7 +138,7 @@ class Sampler:
         bytewise = piece == self.vocabulary.size
         ids = np.where(bytewise, 0, self.vocabulary.ids[np.minimum(piece, self.vocabulary.size - 1)])
         if bytewise.any():
-            codes = self.code[edges[bytewise]]
+            codes = self.code[edges[bytewise]].astype(np.int64)
             codes = np.where(codes == LITERAL, SPACE, np.where(codes == SPACE, 0x20, codes))
             raw, width = _utf8(codes)
             count = np.ones(len(ids), np.int64)
@@ -145,7 +149,9 @@ class Sampler:
         return ids, np.searchsorted(owners, np.arange(len(texts) + 1))
 
 
-def _encoder(path: str, theta: float, seed: int):
+def _encoder(path: str, theta: float, seed: int, shown: list[int]):
+    """shown: which input columns go on."""
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from brightwater.llm import lattice
 
@@ -159,7 +165,7 @@ def _encoder(path: str, theta: float, seed: int):
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 if texts.null_count:
                     lists = pc.if_else(texts.is_null(), pa.scalar(None, lists.type), lists)
-                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[2:]), lists], names=[*batch.schema.names[2:], "ids"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in shown), lists], names=[*map(str, range(len(shown))), "ids"])
 
     return encode
 
@@ -198,9 +204,13 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     """
     ship(docs.sparkSession)
     kind = dict(docs.dtypes)
-    shown = ", ".join(f"`{c}` {kind[c]}" for c in (id_col, *keep))
-    source = docs.select(F.col(id_col).cast("long").alias("_k"), F.col(text_col).alias("_t"), *[F.col(c) for c in (id_col, *keep)])
-    return source.mapInArrow(_encoder(model_path, theta, seed), f"{shown}, ids array<int>")
+    out = (id_col, *keep)
+    shape = ", ".join(f"`{c}` {kind[c]}" for c in out)
+    # the text goes to Python once, also where it is kept
+    apart = [c for c in out if c != text_col]
+    shown = [1 if c == text_col else 2 + apart.index(c) for c in out]
+    source = docs.select(F.col(id_col).cast("long").alias("_k"), F.col(text_col).alias("_t"), *[F.col(c).alias(f"_c{k}") for k, c in enumerate(apart)])
+    return source.mapInArrow(_encoder(model_path, theta, seed, shown), f"{shape}, ids array<int>")
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
