@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 from .components import connected_components
+from .textkernel import lean, lean_group
 
 TABLES, PROBES = 8, 6
 #: Rows of a bucket's block: a larger bucket is compared block by block.
@@ -71,6 +72,7 @@ def matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return lengths, flat, starts
 
 
+@lean
 def _coder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lengths, flat, starts = matrix(batch.column(2))
@@ -103,6 +105,7 @@ def _coder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _verifier(threshold: float):
     """Counts of links and a spanning forest of them, over the buckets' blocks of a group."""
 
+    @lean_group
     def verify(key: tuple, table: pa.Table) -> pa.Table:
         bucket = table["key"].to_numpy() ^ (table["i"].to_numpy() * 1_000_003 + table["j"].to_numpy() * 7_777_777)
         order = np.lexsort((table["id"].to_numpy(), bucket))

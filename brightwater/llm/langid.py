@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ship
-from .textkernel import slices
+from .textkernel import lean, slices, trim
 
 _WORD = re.compile(r"[^\W\d_]+")
 _CACHE = 250_000
@@ -30,6 +30,7 @@ def _words(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
+@lean
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found: Counter = Counter()
@@ -71,6 +72,7 @@ def fit(docs: DataFrame, train, vocabulary_path: str, lang_col: str = "lang", id
             _, share = lattice.forward(weight[:, k : k + 1], shares=True)
             uses = lattice.expected(share, counts, pieces.size + 1) + smoothing
             weight[:, k] = uses / uses.sum()
+    trim()
     return PieceModel(vocabulary_path, langs, weight, np.full(len(langs), -np.log(max(1, len(langs)))))
 
 
@@ -91,6 +93,7 @@ class _Scores(dict):
 
 
 def _predictor(shared, keep: bool):
+    @lean
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         scores = _Scores(model)
@@ -108,8 +111,8 @@ def _predictor(shared, keep: bool):
                     # a slice with more distinct words than the cache holds gets a table of its own
                     table = scores.table if len(scores) + len(fresh) <= _CACHE else np.empty((len(fresh), len(model.langs)))
                     at = len(scores)
-                    for k in range(0, len(fresh), 50_000):
-                        part = fresh[k : k + 50_000]
+                    for k in range(0, len(fresh), 20_000):
+                        part = fresh[k : k + 20_000]
                         table[at + k : at + k + len(part)] = scores.learn(part)
                     scores.update(zip(fresh, range(at, at + len(fresh)), strict=True))
                     sizes = np.fromiter(map(len, texts), np.int64, len(texts))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship
-from .textkernel import ALNUM, Words, buffers, slices
+from .textkernel import ALNUM, Words, buffers, lean, slices
 
 #: Well-known public notices (fixed values).
 TEMPLATES: dict[str, str] = {
@@ -140,6 +140,7 @@ def find(index: TemplateIndex, words: np.ndarray, hits: list[tuple[int, int]], l
 
 
 def _scanner(templates: dict[str, str], least: float):
+    @lean
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = TemplateIndex(templates)
         for batch in batches:

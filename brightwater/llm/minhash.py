@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, release
 from .components import connected_components
-from .textkernel import Words, buffers, gram_hashes, mix, slices
+from .textkernel import Words, buffers, gram_hashes, lean, mix, slices
 
 K = 512
 #: Minima that are compared first; most pairs need no more.
@@ -68,6 +68,7 @@ def _list(values: np.ndarray) -> pa.Array:
 
 
 def _signer(words: int):
+    @lean
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
@@ -107,6 +108,7 @@ def _signer(words: int):
 def _setter(words: int):
     """Sorted shingle sets, 48 bits of each hash: (id, set)."""
 
+    @lean
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
@@ -125,6 +127,7 @@ def _unpack(raw: bytes) -> np.ndarray:
 
 
 def _confirmer(numerator: int, denominator: int):
+    @lean
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             u, v = batch.column(0), batch.column(1)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
-from .textkernel import slices
+from .textkernel import lean, lean_group, slices
 
 CAPACITY = 2048
 #: Characters whose classes (letter, number, space, other) are the same in every Unicode version.
@@ -84,6 +84,7 @@ def _tokenizer(paths: tuple[str, str]) -> ByteTokenizer:
 
 
 def _piece_maker(paths: tuple[str, str], capacity: int, with_ids: bool):
+    @lean
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from brightwater.llm import packing  # the worker's own module keeps the tokenizer between tasks
 
@@ -165,6 +166,7 @@ def lower_bound(lengths: np.ndarray, capacity: int, largest_k: int = 24) -> int:
 
 
 def _packer(capacity: int, round_no: int):
+    @lean_group
     def pack(key: tuple, table: pa.Table) -> pa.Table:
         lengths = table["length"].to_numpy()
         # in an order of its own, whatever order the rows came in

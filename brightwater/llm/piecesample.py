@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship
-from .textkernel import mix, slices
+from .textkernel import lean, mix, slices
 
 #: Segments that no piece crosses: spaces go with the word after them.
 _SEGMENT = re.compile(r" *[^ \n]+| +|\n")
@@ -152,6 +152,7 @@ class Sampler:
 def _encoder(path: str, theta: float, seed: int, shown: list[int]):
     """shown: which input columns go on."""
 
+    @lean
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from brightwater.llm import lattice
 
@@ -171,6 +172,7 @@ def _encoder(path: str, theta: float, seed: int, shown: list[int]):
 
 
 def _decoder(path: str, column: int):
+    @lean
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from brightwater.llm import lattice
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, release
-from .textkernel import Words, buffers, gram_hashes
+from .textkernel import Words, buffers, gram_hashes, lean_group
 
 #: A null id sorts after all others; such rows are held against everything but each other.
 _NO_ID = np.iinfo(np.int64).max
@@ -101,6 +101,7 @@ def _windows(table: pa.Table, window: int) -> tuple[np.ndarray, pa.Array, Words,
 def _sender(window: int, bits: int):
     """A batch's distinct windows for each bucket."""
 
+    @lean_group
     def send(key: tuple, table: pa.Table) -> pa.Table:
         *_, hashes, checks, _ = _windows(table, window)
         order, new = _order(hashes, checks)
@@ -113,6 +114,7 @@ def _sender(window: int, bits: int):
     return send
 
 
+@lean_group
 def _merge(key: tuple, new: pa.Table, old: pa.Table) -> pa.Table:
     """One bucket: answers (batch, windows seen earlier) and the run to add (batch null)."""
     bucket = key[0].as_py()
@@ -142,6 +144,7 @@ def _merge(key: tuple, new: pa.Table, old: pa.Table) -> pa.Table:
     return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int64()), "batch": pa.array([r[1] for r in rows], pa.int64()), "payload": pa.array([r[2] for r in rows], pa.binary())})
 
 
+@lean_group
 def _compact(key: tuple, runs: pa.Table) -> pa.Table:
     """Runs of one bucket, which share no window, as one."""
     parts = [unpack(runs["payload"][i].as_py()) for i in range(runs.num_rows)]
@@ -153,6 +156,7 @@ def _compact(key: tuple, runs: pa.Table) -> pa.Table:
 def _cutter(window: int):
     """A batch's texts without the covered words."""
 
+    @lean_group
     def cut(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
         ids, order, text, words, hashes, checks, at = _windows(docs, window)
         n = len(ids)

@@ -8,7 +8,9 @@ every run, which makes recomputing a lost partition safe.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +57,45 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def trim() -> None:
+    """Give this process's free memory back to the machine."""
+    pa.default_memory_pool().release_unused()
+    if release := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc
+        release(0)
+
+
+def lean(work: Callable) -> Callable:
+    """work over batches, leaving no free memory in its worker: workers live on between tasks."""
+
+    @functools.wraps(work)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            trim()
+
+    return run
+
+
+def lean_group(work: Callable) -> Callable:
+    """As lean, for a function of a key and one group, or two cogrouped ones."""
+
+    def one(key, table):
+        try:
+            return work(key, table)
+        finally:
+            trim()
+
+    def two(key, left, right):
+        try:
+            return work(key, left, right)
+        finally:
+            trim()
+
+    run = two if work.__code__.co_argcount == 3 else one
+    return functools.wraps(work, assigned=("__module__", "__name__", "__qualname__", "__doc__"))(run)
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (one more than rows) of a string column; null is empty."""
     if isinstance(column, pa.ChunkedArray):

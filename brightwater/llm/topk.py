@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 from .embeddings import matrix
+from .textkernel import lean, lean_group
 
 _LONG = np.iinfo(np.int64)
 
@@ -19,6 +20,7 @@ _LONG = np.iinfo(np.int64)
 def _quantiser(scale: int):
     """Usable vectors as whole numbers: (id, dim, q, query)."""
 
+    @lean
     def quantise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lengths, flat, starts = matrix(batch.column(1))
@@ -31,6 +33,7 @@ def _quantiser(scale: int):
     return quantise
 
 
+@lean_group
 def _packed(key: tuple, table: pa.Table) -> pa.Table:
     """A block as one row: its ids and its matrix."""
     order = np.argsort(table["id"].to_numpy(), kind="stable")
@@ -85,6 +88,7 @@ def threshold_topk(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray,
 
 
 def _searcher(k: int):
+    @lean
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):

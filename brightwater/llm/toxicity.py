@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship
-from .textkernel import slices
+from .textkernel import lean, slices
 
 _WORD = re.compile(r"\w+")
 _CACHE = 300_000
@@ -164,6 +164,7 @@ def features(text: str, codes: _Codes) -> list[float] | None:
     return [1.0, float(exact > 0), float(fuzzy > 0), math.log1p(exact), math.log1p(fuzzy), math.log1p(quoted), math.log1p(aimed)]
 
 
+@lean
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words and stems of each text, once, with the word before their first place."""
     for batch in batches:
@@ -185,6 +186,7 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _featured(entries):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = _Codes(Lexicon(entries))
         for batch in batches:
@@ -253,6 +255,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float) -> np.ndarray:
 
 
 def _scorer(shared):
+    @lean
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         codes = _Codes(Lexicon(model.entries))
