@@ -25,7 +25,7 @@ _LOWER[ord("A") : ord("Z") + 1] += 32
 #: ASCII letters and digits, and all bytes of other characters.
 ALNUM = np.array([chr(i).isalnum() if i < 128 else True for i in range(256)])
 #: Bytes of text that are hashed at a time; bounds the working arrays.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 
 _powers: dict[int, np.ndarray] = {}
 
@@ -176,7 +176,7 @@ def _hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: boo
     return mix(out)
 
 
-def slices(column: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def slices(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of at most `limit` bytes of text each; a longer text stands alone."""
     _, offsets = buffers(column)
     at, n = 0, len(column)
