@@ -15,13 +15,13 @@ _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the package to the workers; Arrow batches of 8 MB where the session leaves Spark's default of 64 MB.
+    """Give the package to the workers; Arrow batches of 4 MB where the session leaves Spark's default of 64 MB.
 
     A batch stands in the JVM and in Python, once each way; texts are long.
     """
     _ship(spark)
     if spark.conf.get(_BATCH, None) == "67108864b":
-        spark.conf.set(_BATCH, "8m")
+        spark.conf.set(_BATCH, "4m")
 
 
 def shared_dir(spark: SparkSession) -> str:

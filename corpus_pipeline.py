@@ -53,7 +53,7 @@ def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def remove_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of repeated passages go, and documents of which no word is left."""
-    return _like(docs, substring_dedup(docs, keep=_rest(docs)).where("n_removed = 0 or n_removed < n_words"))
+    return _like(docs, substring_dedup(docs, batch_bytes=4 << 20, keep=_rest(docs)).where("n_removed = 0 or n_removed < n_words"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
