@@ -21,7 +21,7 @@ from .common import ship
 from .textkernel import lean, slices, trim
 
 _WORD = re.compile(r"[^\W\d_]+")
-_CACHE = 250_000
+_CACHE = 100_000
 UNKNOWN = "und"
 
 
@@ -111,8 +111,8 @@ def _predictor(shared, keep: bool):
                     # a slice with more distinct words than the cache holds gets a table of its own
                     table = scores.table if len(scores) + len(fresh) <= _CACHE else np.empty((len(fresh), len(model.langs)))
                     at = len(scores)
-                    for k in range(0, len(fresh), 20_000):
-                        part = fresh[k : k + 20_000]
+                    for k in range(0, len(fresh), 10_000):
+                        part = fresh[k : k + 10_000]
                         table[at + k : at + k + len(part)] = scores.learn(part)
                     scores.update(zip(fresh, range(at, at + len(fresh)), strict=True))
                     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
