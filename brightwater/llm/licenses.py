@@ -1,8 +1,7 @@
-"""Licence scans: winnowed fingerprints pick candidates, banded alignment reports coverage and spans."""
+"""Licence scans: winnowed fingerprints pick windows, alignment reports coverage and spans."""
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship
-from .textkernel import ALNUM, Words, buffers, lean, slices
+from .textkernel import ALNUM, Words, buffers, gram_hashes, lean, slices
 
 #: Well-known public notices (fixed values).
 TEMPLATES: dict[str, str] = {
@@ -29,7 +28,11 @@ TEMPLATES: dict[str, str] = {
     "GPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
-GRAM, WINDOW, BAND = 3, 2, 8
+GRAM, WINDOW = 3, 2
+#: An alignment spans fewer than SPAN words a word of its template: a longer one scores less than its last word alone.
+SPAN = 4
+#: Words that are aligned at a time.
+PART = 1 << 17
 OUT = "id long, license string, coverage double, matched int, start_word long, end_word long, start long, end long"
 
 
@@ -53,112 +56,154 @@ def winnow(hashes: np.ndarray, doc: np.ndarray, window: int = WINDOW) -> np.ndar
 
 
 class TemplateIndex:
-    """Inverted index of the templates' fingerprints."""
+    """Words of the templates, numbered, and an inverted index of the templates' fingerprints."""
 
-    def __init__(self, templates: dict[str, str]):
+    def __init__(self, templates: dict[str, str], least: float):
         self.names = list(templates)
         column = pa.array([templates[n] for n in self.names], pa.string())
         words = Words(*buffers(column), lower=True, in_word=ALNUM)
-        self.words = [words.hash[words.first[i] : words.first[i + 1]] for i in range(len(self.names))]
+        self.keys = np.unique(words.hash)
+        numbers = np.searchsorted(self.keys, words.hash)
+        self.words = [numbers[words.first[i] : words.first[i + 1]] for i in range(len(self.names))]
+        #: The least number of matched words that counts.
+        self.need = [next(c for c in range(1, len(w) + 2) if c >= least * len(w)) for w in self.words]
         hashes, at = words.grams(GRAM, 13)
-        doc = words.doc[at]
-        keep = winnow(hashes, doc)
-        self.postings: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for h, t, p in zip(hashes[keep].tolist(), doc[keep].tolist(), (at[keep] - words.first[doc[keep]]).tolist(), strict=True):
-            self.postings[h].append((t, p))
-        self.keys = np.array(sorted(self.postings), np.uint64)
-
-    def hits(self, hashes: np.ndarray) -> np.ndarray:
-        slot = np.searchsorted(self.keys, hashes)
+        keep = winnow(hashes, words.doc[at])
+        self.prints = [np.unique(hashes[keep & (words.doc[at] == t)]) for t in range(len(self.names))]
+
+    def number(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of words; -1 where no template has the word."""
+        if not len(self.keys):
+            return np.full(len(hashes), -1, np.int32)
+        slot = np.searchsorted(self.keys, hashes).astype(np.int32)
         slot[slot == len(self.keys)] = 0
-        return self.keys[slot] == hashes if len(self.keys) else np.zeros(len(hashes), bool)
+        return np.where(self.keys[slot] == hashes, slot, np.int32(-1))
 
 
-def align(template: np.ndarray, text: np.ndarray, shift: int, band: int = BAND) -> tuple[int, int, int]:
-    """Best alignment of the whole template with a stretch of the text near one diagonal.
+def align(template: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Best alignments of the whole template that end at each word of the text.
 
-    Row i is template word i against text words i + shift - band .. i + shift + band.
-    A match scores 2, a mismatch or a gap -1; the text's ends are free.  Returns the
-    matched words and the first and last + 1 text word matched (0, 0, 0 if none).
+    A match scores 2, a mismatch, a missing and an inserted word -1 each; the text's
+    ends are free.  Of equal scores, more matched words, then the later start.
+    Returns last + 1, score, matched words and first of the ends where a word matches.
     """
-    width = 2 * band + 1
-    low = -(10**9)
-    score = [0] * width
-    trail: list[tuple[int, int, int]] = [(0, -1, -1)] * width
-    best = (0, (0, -1, -1))
-    n = len(text)
-    words = text.tolist()
+    m, n = len(template), len(text)
+    low_bits, mid_bits = n.bit_length(), m.bit_length()
+    if low_bits + mid_bits + (n + 4 * m).bit_length() > 62:
+        raise ValueError("text and template are too long to align")
+    # one number holds score, matched words and first, in this order
+    unit, count = 1 << (low_bits + mid_bits), 1 << low_bits
+    slope = np.arange(n + 1) * unit
+    none = np.iinfo(np.int64).min
+    ends = np.full(n, none)
+    row = np.zeros(n + 1, np.int64)
     for i, w in enumerate(template.tolist()):
-        new_score, new_trail = [low] * width, [(0, -1, -1)] * width
-        for d in range(width):
-            j = i + shift - band + d
-            if 0 <= j < n:
-                old = score[d]
-                count, first, last = trail[d]
-                if words[j] == w:
-                    value, path = old + 2, (count + 1, first if count else j, j + 1)
-                else:
-                    value, path = old - 1, trail[d]
-                new_score[d], new_trail[d] = value, path
-            elif score[d] > low:
-                new_score[d], new_trail[d] = score[d] - 1, trail[d]
-            if d + 1 < width and score[d + 1] - 1 > new_score[d]:  # the template's word is missing from the text
-                new_score[d], new_trail[d] = score[d + 1] - 1, trail[d + 1]
-            if d and new_score[d - 1] - 1 > new_score[d]:  # a word of the text stands between
-                new_score[d], new_trail[d] = new_score[d - 1] - 1, new_trail[d - 1]
-        score, trail = new_score, new_trail
-    for d in range(width):
-        if trail[d][0] and (score[d], trail[d][0]) > (best[0] if best[1][0] else low, best[1][0]):
-            best = (score[d], trail[d])
-    count, first, last = best[1]
-    return (count, first, last) if count else (0, 0, 0)
-
-
-def find(index: TemplateIndex, words: np.ndarray, hits: list[tuple[int, int]], least: float) -> list[tuple[int, float, int, int, int]]:
-    """Matches (template, coverage, matched, first, last + 1) of one text, the better of any that overlap."""
-    diagonals: dict[tuple[int, int], int] = {}
-    for place, h in hits:
-        for t, p in index.postings[h]:
-            diagonals[t, place - p] = diagonals.get((t, place - p), 0) + 1
-    found = []
-    last: dict[int, int] = {}
-    for t, shift in sorted(diagonals):
-        if t in last and shift - last[t] <= BAND // 2:
-            continue  # the band of the one before covers it
-        last[t] = shift
-        size = len(index.words[t])
-        low = max(0, shift - BAND)
-        count, a, b = align(index.words[t], words[low : shift + size + BAND + 1], shift - low)
-        if count >= least * size:
-            found.append((t, count / size, count, low + a, low + b))
-    found.sort(key=lambda m: (-m[2], -m[1], m[0], m[3]))
-    kept: list[tuple[int, float, int, int, int]] = []
-    for m in found:
-        if all(m[4] <= k[3] or m[3] >= k[4] for k in kept):
-            kept.append(m)
-    return sorted(kept, key=lambda m: m[3])
+        at = np.flatnonzero(text == w)
+        old = row[at]
+        hit = old + (2 * unit + count) + np.where(old & (unit - count), 0, at)
+        ends[at] = np.maximum(ends[at], hit - (m - 1 - i) * unit)
+        new = row.copy()
+        np.maximum(new[1:], row[:-1], out=new[1:])
+        new -= unit
+        new[at + 1] = np.maximum(new[at + 1], hit)
+        new += slope
+        np.maximum.accumulate(new, out=new)
+        new -= slope
+        row = new
+    at = np.flatnonzero(ends != none)
+    ends = ends[at]
+    return at + 1, ends >> (low_bits + mid_bits), (ends & (unit - 1)) >> low_bits, ends & (count - 1)
+
+
+def windows(index: TemplateIndex, t: int, ids: np.ndarray, hashes: np.ndarray, owner: np.ndarray, first: np.ndarray) -> Iterator[np.ndarray]:
+    """Places of the words near a shared fingerprint, a gap of -1 after each run, in parts of bounded size."""
+    reach = SPAN * len(index.words[t])
+    grams = np.flatnonzero(owner[: max(0, len(owner) - GRAM + 1)] == owner[GRAM - 1 :])
+    if not len(grams) or not len(index.prints[t]):
+        return
+    codes = gram_hashes(hashes, GRAM, 13)[grams]
+    keep = np.flatnonzero(winnow(codes, owner[grams]))
+    starts = grams[keep[np.isin(codes[keep], index.prints[t])]]
+    yield from runs(starts - reach, starts + reach, owner[starts], first, reach)
+
+
+def runs(low: np.ndarray, high: np.ndarray, owner: np.ndarray, first: np.ndarray, gap: int) -> Iterator[np.ndarray]:
+    """Joined ranges low .. high within their stretches, as places with a gap of -1 after each range."""
+    low, high = np.maximum(low, first[owner]), np.minimum(high, first[owner + 1])
+    new = np.ones(len(low), bool)
+    new[1:] = (low[1:] > high[:-1]) | (owner[1:] != owner[:-1])
+    head = np.flatnonzero(new)
+    low, high = low[head], high[np.append(head[1:], len(high)) - 1] if len(head) else high
+    part, size = [], 0
+    for a, b in zip(low.tolist(), high.tolist(), strict=True):
+        part += [np.arange(a, b), np.full(gap, -1)]
+        size += b - a + gap
+        if size > PART:
+            yield np.concatenate(part)
+            part, size = [], 0
+    if part:
+        yield np.concatenate(part)
+
+
+def candidates(index: TemplateIndex, ids: np.ndarray, hashes: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Rows (stretch, template, matched, score, first, last + 1), for each end the best alignment, if it covers enough."""
+    first = np.searchsorted(owner, np.arange(int(owner[-1]) + 2 if len(owner) else 1))
+    found = [np.empty((0, 6), np.int64)]
+    for t, template in enumerate(index.words):
+        for places in windows(index, t, ids, hashes, owner, first):
+            text = np.where(places >= 0, ids[places], -1)
+            last, score, matched, begin = align(template, text)
+            keep = matched >= index.need[t]
+            begin, last = places[begin[keep]], places[last[keep] - 1] + 1
+            found.append(np.stack([owner[begin], np.full(len(begin), t), matched[keep], score[keep], begin, last], axis=1))
+    return np.concatenate(found)
+
+
+def find(index: TemplateIndex, hashes: np.ndarray, owner: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """Matches (template, matched, first, last + 1) in texts; of any that overlap the better.
+
+    What lies between the matches of one round is a text of its own in the next, until none is found.
+    """
+    sizes = np.array([len(w) for w in index.words])
+    ids = index.number(hashes)
+    place = np.arange(len(ids))
+    matches: list[tuple[int, int, int, int]] = []
+    while len(place):
+        found = candidates(index, ids[place], hashes[place], owner)
+        taken = np.zeros(len(place), bool)
+        hit = np.zeros(int(owner[-1]) + 1, bool)
+        o, t, matched, score, begin, last = found.T
+        order = np.lexsort((begin, t, -score, -matched / sizes[t], -matched, o))
+        for k in order.tolist():
+            a, b = int(begin[k]), int(last[k])
+            if not taken[a:b].any():
+                taken[a:b] = True
+                hit[o[k]] = True
+                matches.append((int(t[k]), int(matched[k]), int(place[a]), int(place[b - 1]) + 1))
+        rest = np.flatnonzero(~taken & hit[owner])
+        cut = np.ones(len(rest), bool)
+        cut[1:] = (np.diff(rest) > 1) | (np.diff(owner[rest]) > 0)
+        owner, place = np.cumsum(cut) - 1, place[rest]
+    return sorted(matches, key=lambda m: m[2])
 
 
 def _scanner(templates: dict[str, str], least: float):
     @lean
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = TemplateIndex(templates)
+        index = TemplateIndex(templates, least)
         for batch in batches:
             for a, b in slices(batch.column(1)):
                 data, offsets = buffers(batch.column(1).slice(a, b - a))
                 words = Words(data, offsets, lower=True, in_word=ALNUM)
-                hashes, at = words.grams(GRAM, 13)
-                keep = np.flatnonzero(winnow(hashes, words.doc[at]))
-                keep = keep[index.hits(hashes[keep])]
-                by_doc: dict[int, list[tuple[int, int]]] = defaultdict(list)
-                for h, p in zip(hashes[keep].tolist(), at[keep].tolist(), strict=True):
-                    by_doc[int(words.doc[p])].append((p - int(words.first[words.doc[p]]), h))
                 rows = []
-                for i, hits in by_doc.items():
+                matches = find(index, words.hash, words.doc)
+                chars = np.cumsum((data & 0xC0) != 0x80) if matches else None
+                for t, count, s, e in matches:
+                    i = int(words.doc[s])
                     first = int(words.first[i])
-                    for t, coverage, count, s, e in find(index, words.hash[first : words.first[i + 1]], hits, least):
-                        low, high = (len(data[offsets[i] : x].tobytes().decode()) for x in (words.start[first + s], words.end[first + e - 1]))
-                        rows.append((i, index.names[t], coverage, count, s, e, low, high))
+                    base = int(chars[offsets[i] - 1]) if offsets[i] else 0
+                    low, high = (int(chars[x - 1]) - base if x else 0 for x in (words.start[s], words.end[e - 1]))
+                    rows.append((i, index.names[t], count / len(index.words[t]), count, s - first, e - first, low, high))
                 ids = batch.column(0).slice(a, b - a).take(pa.array([r[0] for r in rows], pa.int64()))
                 kinds = (pa.string(), pa.float64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
                 columns = [pa.array([r[k + 1] for r in rows], kind) for k, kind in enumerate(kinds)]
@@ -171,10 +216,11 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per match: (id, license, coverage, matched, start_word, end_word, start, end).
 
     Words are runs of letters and digits, A-Z lower-cased.  A template is a candidate
-    where a winnowed 3-word fingerprint is shared; the alignment within BAND words
-    of that diagonal gives the matched words, their share of the template
-    (coverage, at least `least`) and the span in words and characters.  Of
-    overlapping matches the one with the most matched words is reported.
+    where a winnowed 3-word fingerprint is shared; the alignment around it gives
+    the matched words, their share of the template (coverage, at least `least`)
+    and the span in words and characters.  Of overlapping matches the one with the
+    most matched words is reported, and what lies between matches is searched
+    again, so that each of several copies in a row has its own.
 
     Null and empty texts have no matches.  Null ids are kept; repeated rows are
     reported each; an empty table gives an empty result.  Whole texts count; other
