@@ -1,4 +1,4 @@
-"""Licence scans: winnowed fingerprints pick windows, alignment reports coverage and spans."""
+"""Licence scans: counts of shared words pick windows, alignment reports coverage and spans."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship
-from .textkernel import ALNUM, Words, buffers, gram_hashes, lean, slices
+from .textkernel import ALNUM, Words, buffers, lean, slices
 
 #: Well-known public notices (fixed values).
 TEMPLATES: dict[str, str] = {
@@ -28,7 +28,6 @@ TEMPLATES: dict[str, str] = {
     "GPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
-GRAM, WINDOW = 3, 2
 #: An alignment spans fewer than SPAN words a word of its template: a longer one scores less than its last word alone.
 SPAN = 4
 #: Words that are aligned at a time.
@@ -36,27 +35,8 @@ PART = 1 << 17
 OUT = "id long, license string, coverage double, matched int, start_word long, end_word long, start long, end long"
 
 
-def winnow(hashes: np.ndarray, doc: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """Places whose hash is the least (rightmost) of some window of consecutive grams of one text."""
-    n = len(hashes)
-    chosen = np.zeros(n, bool)
-    if n == 0:
-        return chosen
-    count = np.bincount(doc)
-    alone = count[doc] < window  # texts of fewer grams than a window keep their least
-    place = np.arange(n)
-    if n >= window:
-        best = place[: n - window + 1].copy()
-        for k in range(1, window):
-            other = place[k : n - window + 1 + k]
-            best = np.where(hashes[other] <= hashes[best], other, best)
-        chosen[best[doc[: n - window + 1] == doc[window - 1 :]]] = True
-    chosen[alone] = True
-    return chosen
-
-
 class TemplateIndex:
-    """Words of the templates, numbered, and an inverted index of the templates' fingerprints."""
+    """Words of the templates, numbered, and how often each template has them."""
 
     def __init__(self, templates: dict[str, str], least: float):
         self.names = list(templates)
@@ -66,10 +46,9 @@ class TemplateIndex:
         numbers = np.searchsorted(self.keys, words.hash)
         self.words = [numbers[words.first[i] : words.first[i + 1]] for i in range(len(self.names))]
         #: The least number of matched words that counts.
-        self.need = [next(c for c in range(1, len(w) + 2) if c >= least * len(w)) for w in self.words]
-        hashes, at = words.grams(GRAM, 13)
-        keep = winnow(hashes, words.doc[at])
-        self.prints = [np.unique(hashes[keep & (words.doc[at] == t)]) for t in range(len(self.names))]
+        self.need = [next((c for c in range(1, len(w) + 1) if c >= least * len(w)), len(w) + 1) for w in self.words]
+        #: How often each template has each word.
+        self.often = [np.bincount(w, minlength=len(self.keys)) for w in self.words]
 
     def number(self, hashes: np.ndarray) -> np.ndarray:
         """Numbers of words; -1 where no template has the word."""
@@ -115,16 +94,27 @@ def align(template: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return at + 1, ends >> (low_bits + mid_bits), (ends & (unit - 1)) >> low_bits, ends & (count - 1)
 
 
-def windows(index: TemplateIndex, t: int, ids: np.ndarray, hashes: np.ndarray, owner: np.ndarray, first: np.ndarray) -> Iterator[np.ndarray]:
-    """Places of the words near a shared fingerprint, a gap of -1 after each run, in parts of bounded size."""
-    reach = SPAN * len(index.words[t])
-    grams = np.flatnonzero(owner[: max(0, len(owner) - GRAM + 1)] == owner[GRAM - 1 :])
-    if not len(grams) or not len(index.prints[t]):
-        return
-    codes = gram_hashes(hashes, GRAM, 13)[grams]
-    keep = np.flatnonzero(winnow(codes, owner[grams]))
-    starts = grams[keep[np.isin(codes[keep], index.prints[t])]]
-    yield from runs(starts - reach, starts + reach, owner[starts], first, reach)
+def windows(index: TemplateIndex, ids: np.ndarray, owner: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(template, places of the words wherever it may match), a gap of -1 after each run, in parts of bounded size.
+
+    A match needs `need` words of its template, none more often than there, in its
+    text, and as many within SPAN words a word from its first; nothing else is asked.
+    """
+    known = np.flatnonzero(ids >= 0)
+    stretch, word = owner[known], ids[known].astype(np.int64)
+    pairs, count = np.unique(stretch * len(index.keys) + word, return_counts=True)
+    of, which = np.divmod(pairs, max(1, len(index.keys)))
+    for t, template in enumerate(index.words):
+        need, reach = index.need[t], SPAN * len(template)
+        shared = np.minimum(count, index.often[t][which])
+        enough = np.bincount(of, weights=shared, minlength=len(first) - 1) >= need
+        if not len(template) or not enough.any():
+            continue
+        places = known[enough[stretch] & (index.often[t][word] > 0)]
+        starts, ends = places[: len(places) - need + 1], places[need - 1 :]
+        starts = starts[(ends - starts < reach) & (owner[starts] == owner[ends])]
+        for part in runs(starts - reach, starts + reach, owner[starts], first, reach):
+            yield t, part
 
 
 def runs(low: np.ndarray, high: np.ndarray, owner: np.ndarray, first: np.ndarray, gap: int) -> Iterator[np.ndarray]:
@@ -145,17 +135,15 @@ def runs(low: np.ndarray, high: np.ndarray, owner: np.ndarray, first: np.ndarray
         yield np.concatenate(part)
 
 
-def candidates(index: TemplateIndex, ids: np.ndarray, hashes: np.ndarray, owner: np.ndarray) -> np.ndarray:
+def candidates(index: TemplateIndex, ids: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """Rows (stretch, template, matched, score, first, last + 1), for each end the best alignment, if it covers enough."""
     first = np.searchsorted(owner, np.arange(int(owner[-1]) + 2 if len(owner) else 1))
     found = [np.empty((0, 6), np.int64)]
-    for t, template in enumerate(index.words):
-        for places in windows(index, t, ids, hashes, owner, first):
-            text = np.where(places >= 0, ids[places], -1)
-            last, score, matched, begin = align(template, text)
-            keep = matched >= index.need[t]
-            begin, last = places[begin[keep]], places[last[keep] - 1] + 1
-            found.append(np.stack([owner[begin], np.full(len(begin), t), matched[keep], score[keep], begin, last], axis=1))
+    for t, places in windows(index, ids, owner, first):
+        last, score, matched, begin = align(index.words[t], np.where(places >= 0, ids[places], -1))
+        keep = matched >= index.need[t]
+        begin, last = places[begin[keep]], places[last[keep] - 1] + 1
+        found.append(np.stack([owner[begin], np.full(len(begin), t), matched[keep], score[keep], begin, last], axis=1))
     return np.concatenate(found)
 
 
@@ -169,7 +157,7 @@ def find(index: TemplateIndex, hashes: np.ndarray, owner: np.ndarray) -> list[tu
     place = np.arange(len(ids))
     matches: list[tuple[int, int, int, int]] = []
     while len(place):
-        found = candidates(index, ids[place], hashes[place], owner)
+        found = candidates(index, ids[place], owner)
         taken = np.zeros(len(place), bool)
         hit = np.zeros(int(owner[-1]) + 1, bool)
         o, t, matched, score, begin, last = found.T
@@ -215,12 +203,14 @@ def _scanner(templates: dict[str, str], least: float):
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, least: float = 0.8) -> DataFrame:
     """One row per match: (id, license, coverage, matched, start_word, end_word, start, end).
 
-    Words are runs of letters and digits, A-Z lower-cased.  A template is a candidate
-    where a winnowed 3-word fingerprint is shared; the alignment around it gives
-    the matched words, their share of the template (coverage, at least `least`)
-    and the span in words and characters.  Of overlapping matches the one with the
-    most matched words is reported, and what lies between matches is searched
-    again, so that each of several copies in a row has its own.
+    Words are runs of letters and digits, A-Z lower-cased.  A match is the best
+    alignment of a whole template that ends at some word of the text (a matched word
+    scores 2; a changed, a missing and an inserted one -1 each), if its matched words
+    are at least `least` of the template (coverage); its span is given in words and
+    characters.  No such match is missed: only stretches without enough of the
+    template's words are passed over.  Of overlapping matches the one with the most
+    matched words is reported, and what lies between matches is searched again, so
+    that each of several copies in a row has its own.
 
     Null and empty texts have no matches.  Null ids are kept; repeated rows are
     reported each; an empty table gives an empty result.  Whole texts count; other
