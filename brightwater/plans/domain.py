@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import incremental, joins, recursive, search
@@ -71,6 +74,45 @@ def _paths(spark, sf_dir):
     return recursive.simple_paths(_edges(spark, sf_dir), spark.sql("SELECT CAST(1 AS BIGINT) AS s"), 1, 2)
 
 
+def _whole_edges(spark, sf_dir):
+    """Customers and their orders both ways, orders to parts and suppliers, those to nations, nations to regions: whole keys, all rows."""
+    o, i, s, n = (table(spark, sf_dir, name) for name in ("orders", "lineitem", "supplier", "nation"))
+    node = lambda kind, key: F.concat(F.lit(kind), F.col(key).cast("string"))
+    pairs = [
+        (o, node("c", "o_custkey"), node("o", "o_orderkey")),
+        (o, node("o", "o_orderkey"), node("c", "o_custkey")),
+        (i, node("o", "l_orderkey"), node("p", "l_partkey")),
+        (i, node("o", "l_orderkey"), node("s", "l_suppkey")),
+        (s, node("s", "s_suppkey"), node("n", "s_nationkey")),
+        (n, node("n", "n_nationkey"), node("r", "n_regionkey")),
+    ]
+    return reduce(DataFrame.unionAll, [t.select(src.alias("src"), dst.alias("dst")) for t, src, dst in pairs]).where("src is not null and dst is not null").distinct()
+
+
+_W = """e AS (SELECT DISTINCT src, dst FROM (
+    SELECT 'c' || o_custkey AS src, 'o' || o_orderkey AS dst FROM orders UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey FROM orders
+    UNION ALL SELECT 'o' || l_orderkey, 'p' || l_partkey FROM lineitem UNION ALL SELECT 'o' || l_orderkey, 's' || l_suppkey FROM lineitem
+    UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation)
+    WHERE src IS NOT NULL AND dst IS NOT NULL)"""
+
+
+@register("graph_two_hop_whole", f"WITH {_W} SELECT DISTINCT a.src, b.dst FROM e a JOIN e b ON a.dst = b.src")
+def _two_hop_whole(spark, sf_dir):
+    e = _whole_edges(spark, sf_dir)
+    return e.alias("a").join(e.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst").distinct()
+
+
+@register("graph_reachable_whole", f"WITH RECURSIVE {_W}, r AS (SELECT DISTINCT src AS start, src AS node, 0 AS depth FROM e WHERE src LIKE 'c%' UNION SELECT r.start, e.dst, r.depth + 1 FROM r JOIN e ON r.node = e.src WHERE r.depth < 6) SELECT start, node, min(depth) AS depth FROM r GROUP BY start, node HAVING min(depth) >= 1")
+def _reachable_whole(spark, sf_dir):
+    e = _whole_edges(spark, sf_dir)
+    return recursive.reachable(e, e.where("src LIKE 'c%'").select("src"), 1, 6)
+
+
+@register("graph_paths_whole", f"WITH RECURSIVE {_W}, r AS (SELECT 'c1' AS start, 'c1' AS node, ['c1'] AS path UNION ALL SELECT r.start, e.dst, list_append(path, e.dst) FROM r JOIN e ON r.node = e.src WHERE len(path) <= 4 AND NOT list_contains(path, e.dst)) SELECT start, node, path FROM r WHERE len(path) > 1")
+def _paths_whole(spark, sf_dir):
+    return recursive.simple_paths(_whole_edges(spark, sf_dir), spark.sql("SELECT 'c1' AS s"), 1, 4)
+
+
 @register("recursive_union_dedupe", "WITH RECURSIVE r AS (SELECT n_nationkey AS k FROM nation UNION SELECT (k * 3 + 1) % 50 FROM r) SELECT k FROM r")
 def _dedupe(spark, sf_dir):
     return recursive.union_distinct(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k")), lambda f: f.select(((F.col("k") * 3 + 1) % 50).alias("k")))
