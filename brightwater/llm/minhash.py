@@ -67,6 +67,11 @@ def _list(values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), flat)
 
 
+def _sums(own: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    """What tells a set of distinct hashes from others."""
+    return own.sum(dtype=np.uint64), mix(own ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
+
+
 def _signer(words: int):
     @lean
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,8 +93,7 @@ def _signer(words: int):
                     for i in full:
                         own = np.unique(grams[bounds[i] : bounds[i + 1]])
                         sizes[i] = len(own)
-                        sums[i, 0] = own.sum(dtype=np.uint64)
-                        sums[i, 1] = mix(own ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
+                        sums[i] = _sums(own)
                 rows = minima[:, : ROWS * BANDS].reshape(n, BANDS, ROWS).astype(np.uint64)
                 key = np.zeros((n, BANDS), np.uint64)
                 for r in range(ROWS):
@@ -105,8 +109,8 @@ def _signer(words: int):
     return sign
 
 
-def _setter(words: int):
-    """Sorted shingle sets, 48 bits of each hash: (id, set)."""
+def _setter(words: int, keyed: bool = False):
+    """Sorted shingle sets, 48 bits of each hash: (id, set); keyed: and the class's (s1, s2, n)."""
 
     @lean
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +119,13 @@ def _setter(words: int):
             for a, grams, bounds, _ in shingle_sets(batch.column(1), words):
                 n = len(bounds) - 1
                 packed = [np.unique(grams[bounds[i] : bounds[i + 1]] >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for i in range(n)]
-                yield pa.RecordBatch.from_arrays([ids.slice(a, n), pa.array(packed, pa.binary())], names=["id", "set"])
+                columns, names = [ids.slice(a, n), pa.array(packed, pa.binary())], ["id", "set"]
+                if keyed:
+                    own = [np.unique(grams[bounds[i] : bounds[i + 1]]) for i in range(n)]
+                    sums = np.array([_sums(x) for x in own], np.uint64).reshape(n, 2).view(np.int64)
+                    columns += [pa.array(sums[:, 0]), pa.array(sums[:, 1]), pa.array([len(x) for x in own], pa.int64())]
+                    names += ["s1", "s2", "n"]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return sets
 
@@ -175,7 +185,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null text, and text without words: empty set, linked with nothing.  A null id:
     linked with nothing, component_id null, kept.  Rows that repeat an id are one
-    document as far as links go; each row gets the component of its own text.
+    document as far as links go: each class (texts of one set) goes by its smallest
+    id, ids are linked when any of their classes are, and each row gets the
+    component of its own class.
     An empty table gives an empty result.  Other columns are not read.  A pair at
     0.8 shares no band with a chance of (1 - 0.8**4)**24 = 4e-6, at 0.85 of 2e-8.
     """
@@ -207,8 +219,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     wanted = members.select("id").distinct()
     texts = source.join(wanted.hint("shuffle_hash"), "id", "left_semi")
-    # an id may stand for other texts too; its class's set is the one that counts
-    sets = scratch.put("sets", texts.mapInArrow(_setter(words), "id long, set binary").dropDuplicates(["id"]) if _repeats(whole) else texts.mapInArrow(_setter(words), "id long, set binary"))
+    if _repeats(whole):
+        # an id may stand on other texts too; the sets of all classes that it represents count
+        keyed = texts.mapInArrow(_setter(words, keyed=True), "id long, set binary, s1 long, s2 long, n long").dropDuplicates(["id", "s1", "s2", "n"])
+        sets = scratch.put("sets", keyed.join(reps.select("id", "s1", "s2", "n"), ["id", "s1", "s2", "n"], "left_semi").select("id", "set"))
+    else:
+        sets = scratch.put("sets", texts.mapInArrow(_setter(words), "id long, set binary"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         a = sets.select(F.col("id").alias("u"), F.col("set").alias("a"))
