@@ -68,7 +68,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: Language ID, sampled hashes and packing have no SQL; tests hold each stage against brute force.
+#: Language ID, sampled hashes and packing have no SQL; tests check the stages on small cases only.
 ORACLE_SQL = None
 
 
