@@ -13,30 +13,41 @@ from .common import Scratch
 from .textkernel import lean
 
 
-@lean
-def _local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Union-find over one batch: a spanning star in place of its edges."""
-    for batch in batches:
-        u = batch.column(0).to_numpy(zero_copy_only=False)
-        v = batch.column(1).to_numpy(zero_copy_only=False)
-        nodes, index = np.unique(np.concatenate([u, v]), return_inverse=True)
-        a, b = index[: len(u)], index[len(u) :]
-        label = np.arange(len(nodes))
-        while len(a):
-            low = np.minimum(label[a], label[b])
-            new = label.copy()
-            np.minimum.at(new, label[a], low)
-            np.minimum.at(new, label[b], low)
-            while True:
-                jumped = new[new]
-                if np.array_equal(jumped, new):
-                    break
-                new = jumped
-            label = new[label]
-            left = label[a] != label[b]
-            a, b = a[left], b[left]
-        own = np.flatnonzero(label != np.arange(len(nodes)))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(nodes[label[own]])], names=["u", "v"])
+#: Edges that one task may finish alone.
+LOCAL = 10_000
+
+
+def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each node with the smallest one that it reaches, for those that reach a smaller one."""
+    nodes, index = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = index[: len(u)], index[len(u) :]
+    label = np.arange(len(nodes))
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        while not np.array_equal(new, new[new]):
+            new = new[new]
+        label = new[label]
+        left = label[a] != label[b]
+        a, b = a[left], b[left]
+    own = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[own], nodes[label[own]]
+
+
+def _local_stars(whole: bool):
+    """A spanning star in place of the edges of a batch, or of all of a task's."""
+
+    @lean
+    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches) if whole else []
+        for part in [held] if held else ([b] for b in batches):
+            table = pa.Table.from_batches(part)
+            u, v = forest(table.column(0).to_numpy(), table.column(1).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    return stars
 
 
 def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc", max_rounds: int = 60) -> DataFrame:
@@ -46,10 +57,12 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc", m
     neighbours are never gathered: rounds are minima (combined before the
     shuffle) and equi-joins that adaptive execution may split where a hub is
     hot.  The edge list is staged after each round, so a lost executor costs one
-    round at most.
+    round at most.  Edges that are few enough (LOCAL) one task finishes.
     """
     pairs = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v")
-    current = scratch.put(f"{name}-0", pairs.mapInArrow(_local_stars, "u long, v long").distinct())
+    current = scratch.put(f"{name}-0", pairs.mapInArrow(_local_stars(False), "u long, v long").distinct())
+    if current.count() <= LOCAL:
+        return _with_roots(scratch.put(f"{name}-1", current.repartition(1).mapInArrow(_local_stars(True), "u long, v long")))
     before = None
     for k in range(1, max_rounds + 1):
         both = current.unionAll(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -68,5 +81,9 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc", m
         before = state
     else:
         raise RuntimeError(f"connected components did not settle in {max_rounds} rounds")
-    roots = current.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
-    return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(roots)
+    return _with_roots(current)
+
+
+def _with_roots(stars: DataFrame) -> DataFrame:
+    roots = stars.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
+    return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(roots)

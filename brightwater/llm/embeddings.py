@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
-from .components import connected_components
+from .components import connected_components, forest
 from .textkernel import lean, lean_group
 
 TABLES, PROBES = 8, 6
@@ -150,7 +150,7 @@ def _verifier(threshold: float):
             links_u.append(np.maximum(ids[at], ids[to])), links_v.append(np.minimum(ids[at], ids[to]))
         u = np.concatenate(links_u) if links_u else np.empty(0, np.int64)
         v = np.concatenate(links_v) if links_v else np.empty(0, np.int64)
-        u, v = _forest(u, v)
+        u, v = forest(u, v)
         n = len(counts)
         return pa.table(
             {
@@ -163,25 +163,6 @@ def _verifier(threshold: float):
     return verify
 
 
-def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each node with the smallest one that it reaches."""
-    nodes, index = np.unique(np.concatenate([u, v]), return_inverse=True)
-    a, b = index[: len(u)], index[len(u) :]
-    label = np.arange(len(nodes))
-    while len(a):
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, label[a], low)
-        np.minimum.at(new, label[b], low)
-        while not np.array_equal(new, new[new]):
-            new = new[new]
-        label = new[label]
-        left = label[a] != label[b]
-        a, b = a[left], b[left]
-    own = np.flatnonzero(label != np.arange(len(nodes)))
-    return nodes[own], nodes[label[own]]
-
-
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str | None = "label", threshold: float = 0.93) -> DataFrame:
     """One row per input row: (id, n_links, component_id, kept).
 

@@ -1,12 +1,15 @@
-"""b-bit MinHash near-duplicate detection, confirmed on full shingle sets.
+"""b-bit MinHash near-duplicate detection, confirmed on the shingles themselves.
 
 One pass over the texts gives each document K minima.  Bands of whole minima
 give candidate groups; only the low b bits of each minimum are kept, packed into
 a signature whose bit counts estimate, corrected for chance collisions, the
 similarity of a candidate pair.  Pairs that can reach the threshold are then
-confirmed exactly.
+confirmed on their texts: words are numbered by their bytes and shingles by their
+words, so that no hash decides a link.
 
-Documents with equal sets form one class and are represented by its smallest id.
+Documents with equal sets form one class and are represented by its smallest id;
+sets count as equal where their sizes and two 64-bit sums over two different hashes
+of the shingles agree.
 Within a band's group, members are first held against one pivot (the smallest
 id); groups whose members all join the pivot's component need no further
 comparison.  What remains (members outside it) is held against the group, with
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, release
 from .components import connected_components
-from .textkernel import Words, buffers, gram_hashes, lean, mix, slices
+from .textkernel import Words, buffers, exact_runs, gram_hashes, lean, mix, slices
 
 K = 512
 #: Minima that are compared first; most pairs need no more.
@@ -35,7 +38,6 @@ ROUGH = 128
 BITS = 4
 ROWS = 4
 BANDS = 24
-_PER_LONG = 64 // BITS
 _rng = np.random.Generator(np.random.PCG64(20240601))
 _MULTIPLY = _rng.integers(0, 1 << 32, K, dtype=np.uint32) | np.uint32(1)
 _FLIP = _rng.integers(0, 1 << 32, K, dtype=np.uint32)
@@ -45,20 +47,39 @@ SIGNED = "n_shingles long, s1 long, s2 long, bands array<long>, sig array<long>"
 
 
 def shingle_sets(column: pa.Array, words: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, hashes of all shingles, their texts' bounds, ...) by slices of bounded size."""
+    """(first row, two hashes of all shingles, their texts' bounds) by slices of bounded size."""
     for a, b in slices(column):
         data, offsets = buffers(column.slice(a, b - a))
         found = Words(data, offsets, lower=True)
-        grams, at = found.grams(words, 5)
+        second = found.second()
+        at = found.starts(words)
+        grams, other = (gram_hashes(h, words, k)[at] if len(at) else np.empty(0, np.uint64) for k, h in enumerate((found.hash, second)))
         doc = found.doc[at]
         count = np.diff(found.first)
         few = np.flatnonzero((count > 0) & (count < words))
         if len(few):
-            short = np.array([gram_hashes(found.hash[found.first[i] : found.first[i + 1]], int(count[i]), 11)[0] for i in few], np.uint64)
-            grams, doc = np.concatenate([grams, short]), np.concatenate([doc, few])
+            short = np.array([[gram_hashes(h[found.first[i] : found.first[i + 1]], int(count[i]), k)[0] for i in few] for k, h in enumerate((found.hash, second))], np.uint64)
+            grams, other, doc = np.concatenate([grams, short[0]]), np.concatenate([other, short[1]]), np.concatenate([doc, few])
             order = np.argsort(doc, kind="stable")
-            grams, doc = grams[order], doc[order]
-        yield a, grams, np.searchsorted(doc, np.arange(b - a + 1)), count
+            grams, other, doc = grams[order], other[order], doc[order]
+        yield a, grams, other, np.searchsorted(doc, np.arange(b - a + 1))
+
+
+def shingle_numbers(doc: np.ndarray, first: np.ndarray, numbers: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, shingle) of all shingles, from words' texts and numbers: equal if and only if the shingles are.
+
+    first: each text's first word, and the number of words.  A text of fewer than n
+    words is one shingle, which no longer text has.
+    """
+    at = np.flatnonzero(doc[: max(0, len(doc) - n + 1)] == doc[n - 1 :])
+    runs = exact_runs(numbers, n)[at] if len(at) else at
+    of, count = doc[at], np.diff(first)
+    few = np.flatnonzero((count > 0) & (count < n))
+    if len(few):
+        known: dict[bytes, int] = {}
+        short = [known.setdefault(numbers[first[i] : first[i + 1]].tobytes(), -1 - len(known)) for i in few]
+        of, runs = np.concatenate([of, few]), np.concatenate([runs, np.array(short, np.int64)])
+    return of, runs
 
 
 def _list(values: np.ndarray) -> pa.Array:
@@ -67,9 +88,10 @@ def _list(values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), flat)
 
 
-def _sums(own: np.ndarray) -> tuple[np.uint64, np.uint64]:
-    """What tells a set of distinct hashes from others."""
-    return own.sum(dtype=np.uint64), mix(own ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
+def _sums(grams: np.ndarray, other: np.ndarray) -> tuple[int, np.uint64, np.uint64]:
+    """What tells a set from others: its size, and the sums of both hashes of its shingles."""
+    own, at = np.unique(grams, return_index=True)
+    return len(own), own.sum(dtype=np.uint64), other[at].sum(dtype=np.uint64)
 
 
 def _signer(words: int):
@@ -77,7 +99,7 @@ def _signer(words: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
-            for a, grams, bounds, count in shingle_sets(batch.column(1), words):
+            for a, grams, other, bounds in shingle_sets(batch.column(1), words):
                 n = len(bounds) - 1
                 sizes = np.zeros(n, np.int64)
                 sums = np.zeros((n, 2), np.uint64)
@@ -91,16 +113,15 @@ def _signer(words: int):
                         value *= _MULTIPLY[k]
                         minima[full, k] = np.minimum.reduceat(value, at)
                     for i in full:
-                        own = np.unique(grams[bounds[i] : bounds[i + 1]])
-                        sizes[i] = len(own)
-                        sums[i] = _sums(own)
+                        sizes[i], *sums[i] = _sums(grams[bounds[i] : bounds[i + 1]], other[bounds[i] : bounds[i + 1]])
                 rows = minima[:, : ROWS * BANDS].reshape(n, BANDS, ROWS).astype(np.uint64)
                 key = np.zeros((n, BANDS), np.uint64)
                 for r in range(ROWS):
                     key = mix(key ^ (rows[:, :, r] * _BAND[r]))
                 key = mix(key + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                low = (minima & np.uint32((1 << BITS) - 1)).astype(np.uint64).reshape(n, K // _PER_LONG, _PER_LONG)
-                packed = (low << (np.arange(_PER_LONG, dtype=np.uint64) * np.uint64(BITS))).sum(axis=2, dtype=np.uint64)
+                # bit p of 64 minima stands in one number, the bits of the same minima side by side
+                planes = [np.packbits((minima >> np.uint32(p) & np.uint32(1)).astype(np.uint8), axis=1).view(np.uint64) for p in range(BITS)]
+                packed = np.stack(planes, axis=2).reshape(n, -1)
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(a, n), pa.array(sizes), pa.array(sums[:, 0].view(np.int64)), pa.array(sums[:, 1].view(np.int64)), _list(key), _list(packed)],
                     names=["id", "n_shingles", "s1", "s2", "bands", "sig"],
@@ -109,63 +130,54 @@ def _signer(words: int):
     return sign
 
 
-def _setter(words: int, keyed: bool = False):
-    """Sorted shingle sets, 48 bits of each hash: (id, set); keyed: and the class's (s1, s2, n)."""
+def _keyer(words: int):
+    """(id, text, s1, s2, n): texts with their classes."""
 
     @lean
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
-            for a, grams, bounds, _ in shingle_sets(batch.column(1), words):
-                n = len(bounds) - 1
-                packed = [np.unique(grams[bounds[i] : bounds[i + 1]] >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for i in range(n)]
-                columns, names = [ids.slice(a, n), pa.array(packed, pa.binary())], ["id", "set"]
-                if keyed:
-                    own = [np.unique(grams[bounds[i] : bounds[i + 1]]) for i in range(n)]
-                    sums = np.array([_sums(x) for x in own], np.uint64).reshape(n, 2).view(np.int64)
-                    columns += [pa.array(sums[:, 0]), pa.array(sums[:, 1]), pa.array([len(x) for x in own], pa.int64())]
-                    names += ["s1", "s2", "n"]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+            for a, grams, other, bounds in shingle_sets(batch.column(1), words):
+                own = [_sums(grams[x:y], other[x:y]) for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+                sums = np.array([x[1:] for x in own], np.uint64).reshape(len(own), 2).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, len(own)), batch.column(1).slice(a, len(own)), pa.array(sums[:, 0]), pa.array(sums[:, 1]), pa.array([x[0] for x in own], pa.int64())], names=["id", "text", "s1", "s2", "n"]
+                )
 
-    return sets
+    return key
 
 
-def _unpack(raw: bytes) -> np.ndarray:
-    wide = np.zeros((len(raw) // 6, 8), np.uint8)
-    wide[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return wide.view(np.uint64).reshape(-1)
+def linked(left: pa.Array, right: pa.Array, words: int, numerator: int, denominator: int) -> np.ndarray:
+    """Which pairs of texts have denominator * |A & B| >= numerator * |A | B| on their sets of shingles."""
+    one, other = (Words(*buffers(c), lower=True) for c in (left, right))
+    n = len(left)
+    # one numbering for both sides, which stand end to end
+    doc, first = np.concatenate([one.doc, other.doc + n]), np.concatenate([one.first, other.first[1:] + len(one.start)])
+    doc, runs = shingle_numbers(doc, first, np.concatenate(one.numbers(other)), words)
+    runs = np.unique(runs, return_inverse=True)[1]
+    width = int(runs.max(initial=0)) + 1
+    a, b = (np.unique(doc[side] % n * width + runs[side]) for side in (doc < n, doc >= n)) if n else (doc, doc)
+    common = np.intersect1d(a, b, assume_unique=True)
+    size_a, size_b, shared = (np.bincount(x // width, minlength=n) for x in (a, b, common))
+    return denominator * shared >= numerator * (size_a + size_b - shared)
 
 
-def _confirmer(numerator: int, denominator: int):
+def _confirmer(words: int, numerator: int, denominator: int):
     @lean
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            u, v = batch.column(0), batch.column(1)
-            keep = np.zeros(len(u), bool)
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                a, b = _unpack(x.as_buffer().to_pybytes()), _unpack(y.as_buffer().to_pybytes())
-                both = np.sort(np.concatenate([a, b]), kind="stable")
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep[i] = denominator * common >= numerator * (len(a) + len(b) - common)
-            mask = pa.array(keep)
-            yield pa.RecordBatch.from_arrays([u.filter(mask), v.filter(mask)], names=["u", "v"])
+            for a, b in slices(batch.column(2)):
+                part = batch.slice(a, b - a)
+                mask = pa.array(linked(part.column(2), part.column(3), words, numerator, denominator))
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(mask), part.column(1).filter(mask)], names=["u", "v"])
 
     return confirm
 
 
-def estimate(a: Column, b: Column, minima: int = K) -> Column:
-    """Similarity from packed signatures: share of equal b-bit groups, less what chance makes equal."""
-    ones = sum(1 << (BITS * k) for k in range(_PER_LONG))
-    ones = ones - (1 << 64) if ones >= 1 << 63 else ones
-    differ = F.lit(0)
-    for i in range(minima // _PER_LONG):
-        x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
-        folded = x
-        for shift in range(1, BITS):
-            folded = folded.bitwiseOR(F.shiftrightunsigned(x, shift))
-        differ = differ + F.bit_count(folded.bitwiseAND(F.lit(ones)))
+def estimate(a: str, b: str, minima: int = K) -> Column:
+    """Similarity from the packed signatures in two columns: share of equal b-bit groups, less what chance makes equal."""
+    differ = " + ".join("bit_count(" + " | ".join(f"({a}[{i}] ^ {b}[{i}])" for i in range(g * BITS, (g + 1) * BITS)) + ")" for g in range(minima // 64))
     chance = 1.0 / (1 << BITS)
-    return ((minima - differ) / F.lit(float(minima)) - chance) / (1 - chance)
+    return F.expr(f"(({minima} - ({differ})) / {float(minima)}D - {chance}D) / {1 - chance}D")
 
 
 def slack(threshold: float, minima: int = K, deviations: float = 4.8) -> float:
@@ -215,21 +227,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def _may_link(nu: str, nv: str, su: str, sv: str) -> Column:
         sizes = denominator * F.least(nu, nv) >= numerator * F.greatest(nu, nv)
-        return sizes & (estimate(F.col(su), F.col(sv), ROUGH) >= rough) & (estimate(F.col(su), F.col(sv)) >= limit)
+        return sizes & (estimate(su, sv, ROUGH) >= rough) & (estimate(su, sv) >= limit)
 
     wanted = members.select("id").distinct()
     texts = source.join(wanted.hint("shuffle_hash"), "id", "left_semi")
     if _repeats(whole):
-        # an id may stand on other texts too; the sets of all classes that it represents count
-        keyed = texts.mapInArrow(_setter(words, keyed=True), "id long, set binary, s1 long, s2 long, n long").dropDuplicates(["id", "s1", "s2", "n"])
-        sets = scratch.put("sets", keyed.join(reps.select("id", "s1", "s2", "n"), ["id", "s1", "s2", "n"], "left_semi").select("id", "set"))
-    else:
-        sets = scratch.put("sets", texts.mapInArrow(_setter(words), "id long, set binary"))
+        # an id may stand on other texts too; those of all classes that it represents count
+        keyed = texts.mapInArrow(_keyer(words), "id long, text string, s1 long, s2 long, n long").dropDuplicates(["id", "s1", "s2", "n"])
+        texts = keyed.join(reps.select("id", "s1", "s2", "n"), ["id", "s1", "s2", "n"], "left_semi").select("id", "text")
+    texts = scratch.put("texts", texts)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        a = sets.select(F.col("id").alias("u"), F.col("set").alias("a"))
-        b = sets.select(F.col("id").alias("v"), F.col("set").alias("b"))
-        return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(_confirmer(numerator, denominator), "u long, v long")
+        a = texts.select(F.col("id").alias("u"), F.col("text").alias("a"))
+        b = texts.select(F.col("id").alias("v"), F.col("text").alias("b"))
+        return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(_confirmer(words, numerator, denominator), "u long, v long")
 
     stars = members.where("id != pivot").select(F.col("id").alias("u"), F.col("pivot").alias("v")).distinct()
     links = scratch.put("links-1", confirmed(plausible(stars)))
@@ -250,13 +261,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # two members that both stand apart meet once
     once = (F.col("cv") == F.col("pv")) | (F.col("u") < F.col("v"))
     # a pair is tested in the first band that both share: there one of them is the pivot, and was tested, or stands apart
-    first_band = F.coalesce(*[F.when(F.get("bu", F.lit(i)) == F.get("bv", F.lit(i)), F.get("bu", F.lit(i))) for i in range(BANDS)])
+    first_band = F.expr("coalesce(" + ", ".join(f"if(bu[{i}] = bv[{i}], bu[{i}], null)" for i in range(BANDS)) + ")")
     rest = x.join(y, "key").where((F.col("cu") != F.col("cv")) & once & (first_band == F.col("key")) & _may_link("nu", "nv", "su", "sv"))
     later = scratch.put("links-2", confirmed(rest.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()))
     final = connected_components(first.select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(later), scratch, "cc2")
 
-    linked = reps.select("s1", "s2", F.col("n").alias("n_shingles"), F.col("id").alias("class_id")).join(final.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
-    out = signed.join(linked, ["s1", "s2", "n_shingles"], "left")
+    labelled = reps.select("s1", "s2", F.col("n").alias("n_shingles"), F.col("id").alias("class_id")).join(final.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
+    out = signed.join(labelled, ["s1", "s2", "n_shingles"], "left")
     component = F.when(F.col("id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("component", "class_id")).otherwise(F.col("id"))
     return out.select(
         F.col("id").cast(kind).alias(id_col),
