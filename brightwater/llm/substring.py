@@ -2,14 +2,16 @@
 
 The index holds immutable runs of historical window fingerprints: for each
 bucket (the leading bits of the fingerprint) a sorted, delta-coded array without
-repeats.  A generation of documents, all of them later than those in the index,
-is dealt into batches of consecutive ids.  Each batch sends its distinct windows
-once to each bucket, in sorted order; the bucket merge-joins them with the runs
-and with each other and answers every batch with the windows that start in an
-earlier batch or in the index.  Runs of one tier are compacted by merging.
-
-Batches are ranges of ids, so neither a run nor a message carries document ids,
-and a window in a third of all documents costs one entry per batch.
+repeats, and the batch that each came from first.  Documents pass through it in
+generations of rising ids, and a generation is dealt into batches of consecutive
+ids.  Each batch sends its distinct windows once to each bucket; the bucket
+merge-joins them with the runs and with each other.  Runs of one tier are
+compacted by merging.
+
+A fingerprint that is found is only a candidate.  The bucket asks the batch that
+had it first, which sends the words of its windows to the batches that found
+them; those compare word by word, and only equal words are removed.  Windows
+whose fingerprint another window shares are judged once more by their words.
 """
 
 from __future__ import annotations
@@ -19,96 +21,118 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, release
-from .textkernel import Words, buffers, gram_hashes, lean_group
+from .textkernel import Words, buffers, exact_runs, lean, lean_group, slices
 
 #: A null id sorts after all others; such rows are held against everything but each other.
 _NO_ID = np.iinfo(np.int64).max
+#: Rows that are looked at for each batch when batches are laid out, and fingerprints that are judged again at once.
+SAMPLE, AGAIN = 64, 1 << 20
 
 
-def pack(hashes: np.ndarray, checks: np.ndarray) -> bytes:
-    """Sorted 64-bit fingerprints as deltas of the fewest bytes that hold them, then 16-bit checks."""
-    n = len(hashes)
-    if n == 0:
+def _planes(values: np.ndarray) -> tuple[int, bytes]:
+    """Unsigned numbers in the fewest bytes that hold them; the high bytes, mostly zeros, stand together."""
+    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    return width, np.ascontiguousarray(np.ascontiguousarray(values, "<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def _unplaned(raw: bytes, at: int, n: int, width: int) -> np.ndarray:
+    wide = np.zeros((n, 8), np.uint8)
+    wide[:, :width] = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T
+    return wide.view("<u8").reshape(-1)
+
+
+def pack(hashes: np.ndarray, beside: np.ndarray | None = None) -> bytes:
+    """Sorted fingerprints as deltas, and a number beside each."""
+    if not len(hashes):
         return b""
-    delta = np.diff(hashes)
-    width = max(1, (int(delta.max()).bit_length() + 7) // 8) if n > 1 else 1
-    head = np.array([n, width, hashes[0]], np.uint64).tobytes()
-    planes = np.ascontiguousarray(np.ascontiguousarray(delta).view(np.uint8).reshape(-1, 8)[:, :width].T)  # the high bytes, mostly zeros, stand together
-    return head + planes.tobytes() + checks.astype(np.uint16).tobytes()
+    width, deltas = _planes(np.diff(hashes))
+    wide, numbers = _planes(beside) if beside is not None else (0, b"")
+    return np.array([len(hashes), width, wide, hashes[0]], "<u8").tobytes() + deltas + numbers
 
 
 def unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     if not raw:
-        return np.empty(0, np.uint64), np.empty(0, np.uint16)
-    n, width, first = (int(x) for x in np.frombuffer(raw, np.uint64, 3))
-    at = 24 + (n - 1) * width
-    wide = np.zeros((n, 8), np.uint8)
-    wide[1:, :width] = np.frombuffer(raw, np.uint8, (n - 1) * width, 24).reshape(width, -1).T
-    deltas = wide.view(np.uint64).reshape(-1)
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    n, width, wide, first = (int(x) for x in np.frombuffer(raw, "<u8", 4))
+    deltas = np.empty(n, np.uint64)
     deltas[0] = first
-    return np.cumsum(deltas, dtype=np.uint64), np.frombuffer(raw, np.uint16, n, at)
-
-
-def _order(hashes: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A stable order that brings equal windows together, and where a new window begins in it."""
-    order = np.argsort(hashes, kind="stable")
-    h, c = hashes[order], checks[order]
-    if len(h) and np.any((h[1:] == h[:-1]) & (c[1:] != c[:-1])):
-        order = np.lexsort((np.arange(len(hashes)), checks, hashes))
-        h, c = hashes[order], checks[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
+    deltas[1:] = _unplaned(raw, 32, n - 1, width)
+    beside = _unplaned(raw, 32 + (n - 1) * width, n, wide).astype(np.int64) if wide else np.empty(0, np.int64)
+    return np.cumsum(deltas, dtype=np.uint64), beside
+
+
+class Batches:
+    """Ranges of ids, cut by bytes; an id that fills several batches is dealt among them by its texts.
+
+    Laid out from SAMPLE rows a batch or so, which the driver holds; any layout gives the same result.
+    """
+
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, batches: int):
+        order = np.argsort(ids, kind="stable")
+        ids, total = ids[order], np.cumsum(sizes[order])
+        cuts = ids[np.searchsorted(total, total[-1] / batches * np.arange(1, batches))] if len(ids) and total[-1] else ids[:0]
+        values, often = np.unique(cuts, return_counts=True)
+        starts, dealt = [np.iinfo(np.int64).min], [1]
+        for value, n in zip(values.tolist(), often.tolist(), strict=True):
+            if starts[-1] != value:
+                starts.append(value), dealt.append(n)
+            else:
+                dealt[-1] = n
+            if n > 1 and value < _NO_ID:
+                starts.append(value + 1), dealt.append(1)
+        self.starts, self.dealt = np.array(starts), np.array(dealt)
+        self.first = np.cumsum(self.dealt) - self.dealt
+        self.count = int(self.dealt.sum())
+
+    def of(self, ids: np.ndarray, texts: np.ndarray) -> np.ndarray:
+        segment = np.searchsorted(self.starts, ids, "right") - 1
+        return self.first[segment] + np.mod(texts, self.dealt[segment])
+
+    def ids(self, low: int, high: int) -> tuple[int, int]:
+        """The smallest and the largest id that batches low .. high - 1 may have."""
+        a, b = np.searchsorted(self.first, [low, high - 1], "right") - 1
+        return int(self.starts[a]), int(self.starts[b + 1] - 1) if b + 1 < len(self.starts) else _NO_ID
+
+
+class _Docs:
+    """A batch's texts in order of id, their words and windows."""
+
+    def __init__(self, table: pa.Table, window: int, mask: np.uint64):
+        ids, texts = table["id"].to_numpy(), table["th"].to_numpy()
+        order = np.lexsort((texts, ids))
+        self.ids, self.th = ids[order], texts[order]
+        text = table["text"].combine_chunks().take(pa.array(order))
+        self.data, self.offsets = buffers(text)
+        self.words = Words(self.data, self.offsets)
+        self.hashes, self.at = self.words.grams(window)
+        self.hashes &= mask
+        self.doc = self.words.doc[self.at]
+
+
+def _groups(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A stable order that brings equal values together, and where a new one begins in it."""
+    order = np.argsort(values, kind="stable")
+    new = np.ones(len(order), bool)
+    new[1:] = values[order[1:]] != values[order[:-1]]
     return order, new
 
 
-def _found(hashes: np.ndarray, checks: np.ndarray, run: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Merge-join: which windows the sorted run holds."""
-    known, verify = run
-    if not len(known) or not len(hashes):
-        return np.zeros(len(hashes), bool)
-    at = np.searchsorted(known, hashes)
-    inside = at < len(known)
-    at[~inside] = 0
-    hit = inside & (known[at] == hashes)
-    good = hit & (verify[at] == checks)
-    for i in np.flatnonzero(hit & ~good):  # equal fingerprints of different windows
-        k = at[i] + 1
-        while k < len(known) and known[k] == hashes[i]:
-            if verify[k] == checks[i]:
-                good[i] = True
-            k += 1
-    return good
-
-
-def _windows(table: pa.Table, window: int) -> tuple[np.ndarray, pa.Array, Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Ids in order, texts, their bytes' words, then fingerprint, check and first word of each window."""
-    ids = table["id"].combine_chunks().fill_null(_NO_ID).to_numpy()
-    order = np.argsort(ids, kind="stable")
-    text = table["text"].combine_chunks().take(pa.array(order))
-    if isinstance(text, pa.ChunkedArray):
-        text = text.combine_chunks()
-    data, offsets = buffers(text)
-    words = Words(data, offsets)
-    hashes, at = words.grams(window, 3)
-    checks = (gram_hashes(words.hash, window, 7)[at] >> np.uint64(48)).astype(np.uint16) if len(at) else np.empty(0, np.uint16)
-    return ids[order], order, text, words, hashes, checks, at
-
-
-def _sender(window: int, bits: int):
+_SENT = "bucket long, batch long, payload binary"
+
+
+def _sender(window: int, mask: np.uint64, bits: int):
     """A batch's distinct windows for each bucket."""
 
     @lean_group
     def send(key: tuple, table: pa.Table) -> pa.Table:
-        *_, hashes, checks, _ = _windows(table, window)
-        order, new = _order(hashes, checks)
-        hashes, checks = hashes[order][new], checks[order][new]
-        cuts = np.searchsorted(hashes >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)) if bits else np.array([0, len(hashes)])
+        hashes = np.unique(_Docs(table, window, mask).hashes)
+        cuts = np.searchsorted(hashes >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
         full = np.flatnonzero(np.diff(cuts) > 0)
-        rows = [pack(hashes[cuts[b] : cuts[b + 1]], checks[cuts[b] : cuts[b + 1]]) for b in full]
+        rows = [pack(hashes[cuts[b] : cuts[b + 1]]) for b in full]
         return pa.table({"bucket": pa.array(full, pa.int64()), "batch": pa.array([key[0].as_py()] * len(full), pa.int64()), "payload": pa.array(rows, pa.binary())})
 
     return send
@@ -116,31 +140,32 @@ def _sender(window: int, bits: int):
 
 @lean_group
 def _merge(key: tuple, new: pa.Table, old: pa.Table) -> pa.Table:
-    """One bucket: answers (batch, windows seen earlier) and the run to add (batch null)."""
+    """One bucket: what each owner is asked for (batch, fingerprints and askers), and the run to add (batch null)."""
     bucket = key[0].as_py()
     batches = new["batch"].to_numpy() if new.num_rows else np.empty(0, np.int64)
     rank = np.argsort(batches, kind="stable")
-    parts = [unpack(new["payload"][int(i)].as_py()) for i in rank]
-    hashes = np.concatenate([p[0] for p in parts]) if parts else np.empty(0, np.uint64)
-    checks = np.concatenate([p[1] for p in parts]) if parts else np.empty(0, np.uint16)
-    sizes = np.array([len(p[0]) for p in parts], np.int64)
+    parts = [unpack(new["payload"][int(i)].as_py())[0] for i in rank]
+    hashes = np.concatenate([np.empty(0, np.uint64), *parts])
+    asker = np.repeat(batches[rank], [len(p) for p in parts])
     del parts
-    seen = np.zeros(len(hashes), bool)
+    order, first = _groups(hashes)
+    hashes, asker = hashes[order], asker[order]
+    known, owner = hashes[first], asker[first]
+    fresh = np.ones(len(known), bool)
     for i in range(old.num_rows):
-        seen |= _found(hashes, checks, unpack(old["payload"][i].as_py()))
-    order, first = _order(hashes, checks)
-    fresh = order[first & ~seen[order]]
-    repeated = seen.copy()
-    repeated[order[~first]] = True
-    ends = np.cumsum(sizes)
-    rows = []
-    for i, end in zip(rank, ends, strict=True):
-        part = slice(end - sizes[np.searchsorted(ends, end)], end)
-        mine = repeated[part]
-        if mine.any():
-            rows.append((bucket, int(batches[i]), pack(hashes[part][mine], checks[part][mine])))
-    if len(fresh):
-        rows.append((bucket, None, pack(hashes[fresh], checks[fresh])))
+        run, owners = unpack(old["payload"][i].as_py())
+        at = np.searchsorted(run, known)
+        at[at == len(run)] = 0
+        hit = run[at] == known if len(run) else np.zeros(len(known), bool)
+        owner = np.where(hit, owners[at] if len(run) else 0, owner)
+        fresh &= ~hit
+    whose = owner[np.cumsum(first) - 1]
+    asked = np.flatnonzero(whose != asker)
+    asked = asked[np.argsort(whose[asked], kind="stable")]
+    cuts = np.append(np.flatnonzero(np.diff(whose[asked], prepend=-1)), len(asked))
+    rows = [(bucket, int(whose[asked[a]]), pack(hashes[asked[a:b]], asker[asked[a:b]])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    if fresh.any():
+        rows.append((bucket, None, pack(known[fresh], owner[fresh])))
     return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int64()), "batch": pa.array([r[1] for r in rows], pa.int64()), "payload": pa.array([r[2] for r in rows], pa.binary())})
 
 
@@ -148,64 +173,152 @@ def _merge(key: tuple, new: pa.Table, old: pa.Table) -> pa.Table:
 def _compact(key: tuple, runs: pa.Table) -> pa.Table:
     """Runs of one bucket, which share no window, as one."""
     parts = [unpack(runs["payload"][i].as_py()) for i in range(runs.num_rows)]
-    hashes, checks = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    order, _ = _order(hashes, checks)
-    return pa.table({"bucket": pa.array([key[0].as_py()], pa.int64()), "batch": pa.array([None], pa.int64()), "payload": pa.array([pack(hashes[order], checks[order])], pa.binary())})
+    hashes, owners = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+    order = np.argsort(hashes)
+    return pa.table({"bucket": pa.array([key[0].as_py()], pa.int64()), "batch": pa.array([None], pa.int64()), "payload": pa.array([pack(hashes[order], owners[order])], pa.binary())})
 
 
-def _cutter(window: int):
-    """A batch's texts without the covered words."""
+def _witness(window: int, mask: np.uint64):
+    """The words that a batch's first windows stand for, to those that ask: (asker, id, text), a row for each run of windows."""
 
     @lean_group
-    def cut(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
-        ids, order, text, words, hashes, checks, at = _windows(docs, window)
-        n = len(ids)
-        doc = words.doc[at]
-        # a later document of this batch
-        by, new = _order(hashes, checks)
+    def tell(key: tuple, docs: pa.Table, asks: pa.Table) -> pa.Table:
+        out: list[tuple[int, int, bytes]] = []
+        if asks.num_rows and docs.num_rows:
+            held = _Docs(docs, window, mask)
+            order, new = _groups(held.hashes)
+            known, place = held.hashes[order][new], order[new]
+            parts = [unpack(p.as_py()) for p in asks["payload"]]
+            wanted, asker = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+            at = place[np.searchsorted(known, wanted)]
+            order = np.lexsort((at, asker))
+            at, asker = at[order], asker[order]
+            word, doc = held.at[at], held.doc[at]
+            cut = np.ones(len(at) + 1, bool)
+            cut[1:-1] = (np.diff(word) != 1) | (np.diff(doc) != 0) | (np.diff(asker) != 0)
+            edge, raw = np.flatnonzero(cut), held.data.tobytes()
+            for a, b in zip(edge[:-1].tolist(), (edge[1:] - 1).tolist(), strict=True):
+                out.append((int(asker[a]), int(held.ids[doc[a]]), raw[held.words.start[word[a]] : held.words.end[word[b] + window - 1]]))
+        return pa.table({"asker": pa.array([r[0] for r in out], pa.int64()), "id": pa.array([r[1] for r in out], pa.int64()), "text": pa.array([r[2] for r in out], pa.binary()).cast(pa.string())})
+
+    return tell
+
+
+def _same(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray, window: int) -> np.ndarray:
+    """Whether the words a[i], a[i + 1] and on are b[j], b[j + 1] and on."""
+    same = np.ones(len(i), bool)
+    for k in range(window):
+        same &= a[i + k] == b[j + k]
+    return same
+
+
+_JUDGED = "id long, th long, starts array<long>, again long"
+
+
+def _judge(window: int, mask: np.uint64):
+    """A batch's windows to remove, by text (word numbers in starts), and fingerprints to judge again."""
+
+    @lean_group
+    def judge(key: tuple, docs: pa.Table, told: pa.Table) -> pa.Table:
+        held = _Docs(docs, window, mask)
+        other = Words(*buffers(told["text"])) if told.num_rows else Words(np.empty(0, np.uint8), np.zeros(1, np.int64))
+        own_number, other_number = held.words.numbers(other)
+        drop, again = np.zeros(len(held.at), bool), np.empty(0, np.uint64)
+        # an earlier text of this batch
+        order, new = _groups(held.hashes)
         group = np.cumsum(new) - 1
-        owner = ids[doc[by]][new]
-        drop = np.zeros(len(hashes), bool)
-        drop[by] = ids[doc[by]] > owner[group] if len(by) else False
-        # an earlier batch or the index
-        parts = [unpack(answers["payload"][i].as_py()) for i in range(answers.num_rows)]
-        if parts:
-            known = np.concatenate([p[0] for p in parts])
-            verify = np.concatenate([p[1] for p in parts])
-            place, _ = _order(known, verify)
-            drop |= _found(hashes, checks, (known[place], verify[place]))
-        mark = np.zeros(len(words.hash) + 1, np.int64)
-        np.add.at(mark, at[drop], 1)
-        np.add.at(mark, at[drop] + window, -1)
-        covered = np.cumsum(mark[:-1]) > 0
-        total = np.concatenate([[0], np.cumsum(covered)])
-        removed = total[words.first[1:]] - total[words.first[:-1]]
-        data, offsets = buffers(text)
-        raw = data.tobytes()
-        out, spans = [], []
-        for i in range(n):
-            a, b = words.first[i], words.first[i + 1]
-            low, high = int(offsets[i]), int(offsets[i + 1])
-            if not removed[i]:
-                out.append(raw[low:high])
-                spans.append([])
-                continue
-            edge = np.diff(np.concatenate([[0], covered[a:b].astype(np.int8), [0]]))
-            starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-            pieces, at_byte = [], low
-            for s, e in zip(starts, ends, strict=True):
-                # a word goes with the separators before it
-                stop = int(words.end[a + s - 1]) if s else low
-                pieces.append(raw[at_byte:stop])
-                at_byte = int(words.end[a + e - 1])
-            pieces.append(raw[at_byte:high])
-            out.append(b"".join(pieces))
-            spans.append([{"start": int(s), "length": int(e - s)} for s, e in zip(starts, ends, strict=True)])
-        ids_out = docs["id"].combine_chunks().take(pa.array(order))
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
-        place = pa.array(order)
-        held = {c: docs[c].take(place) for c in docs.column_names if c.startswith("_k")}
-        return pa.table({"id": ids_out, "n_words": pa.array(np.diff(words.first), pa.int64()), "n_removed": pa.array(removed, pa.int64()), "text": pa.array(out, pa.binary()).cast(pa.string()), "spans": pa.array(spans, kind), **held})
+        more = np.flatnonzero(~new)
+        if len(more) and not _same(own_number, held.at[order[more]], own_number, held.at[order[new][group[more]]], window).all():
+            order, new = _groups(exact_runs(own_number, window)[held.at])
+            group = np.cumsum(new) - 1
+        drop[order] = held.ids[held.doc[order]] > held.ids[held.doc[order[new][group]]] if len(order) else False
+        # an earlier batch
+        if told.num_rows:
+            ids = told["id"].to_numpy()
+            known, at = other.grams(window)
+            known &= mask
+            place = np.argsort(known, kind="stable")
+            known, at = known[place], at[place]
+            slot = np.searchsorted(known, held.hashes)
+            slot[slot == len(known)] = 0
+            hit = np.flatnonzero(known[slot] == held.hashes) if len(known) else np.empty(0, np.int64)
+            slot = slot[hit]
+            same = _same(own_number, held.at[hit], other_number, at[slot], window)
+            drop[hit[same]] |= held.ids[held.doc[hit[same]]] > ids[other.doc[at[slot[same]]]]
+            again = np.unique(held.hashes[hit[~same]])
+        rows = np.flatnonzero(drop)
+        texts, first = np.unique(held.doc[rows], return_index=True)
+        starts = np.split(held.at[rows] - held.words.first[held.doc[rows]], first[1:]) if len(rows) else []
+        n, m = len(texts), len(again)
+        return pa.table(
+            {
+                "id": pa.array([*held.ids[texts].tolist(), *[None] * m], pa.int64()),
+                "th": pa.array([*held.th[texts].tolist(), *[None] * m], pa.int64()),
+                "starts": pa.array([*starts, *[None] * m], pa.list_(pa.int64())),
+                "again": pa.array([*[None] * n, *again.view(np.int64).tolist()], pa.int64()),
+            }
+        )
+
+    return judge
+
+
+def _windows_of(window: int, mask: np.uint64, wanted):
+    """(id, th, start, words) of the windows that have one of some fingerprints."""
+
+    @lean
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in slices(batch.column(2)):
+                data, offsets = buffers(batch.column(2).slice(a, b - a))
+                words = Words(data, offsets)
+                hashes, at = words.grams(window)
+                at = at[np.isin((hashes & mask).view(np.int64), wanted.value)]
+                raw = data.tobytes()
+                joined = [b" ".join(raw[s:e] for s, e in zip(words.start[i : i + window], words.end[i : i + window], strict=True)) for i in at]
+                rows = pa.array(words.doc[at] + a)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(at - words.first[words.doc[at]]), pa.array(joined, pa.binary())], names=["id", "th", "start", "words"])
+
+    return find
+
+
+def _cutter(window: int, n_held: int):
+    """Texts without the words that their windows cover."""
+
+    @lean
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in slices(batch.column(1)):
+                part = batch.slice(a, b - a)
+                data, offsets = buffers(part.column(1))
+                words = Words(data, offsets)
+                lists = part.column(2)
+                counts = pa.compute.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                at = lists.flatten().to_numpy(zero_copy_only=False) + np.repeat(words.first[:-1], counts)
+                mark = np.zeros(len(words.start) + 1, np.int64)
+                np.add.at(mark, at, 1)
+                np.add.at(mark, at + window, -1)
+                covered = np.cumsum(mark[:-1]) > 0
+                total = np.concatenate([[0], np.cumsum(covered)])
+                removed = total[words.first[1:]] - total[words.first[:-1]]
+                raw, out, spans = data.tobytes(), [], []
+                for i in range(len(removed)):
+                    low, high = int(offsets[i]), int(offsets[i + 1])
+                    if not removed[i]:
+                        out.append(raw[low:high]), spans.append([])
+                        continue
+                    first = words.first[i]
+                    edge = np.diff(np.concatenate([[0], covered[first : words.first[i + 1]].astype(np.int8), [0]]))
+                    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+                    pieces, at_byte = [], low
+                    for s, e in zip(starts, ends, strict=True):
+                        # a word goes with the separators before it
+                        pieces.append(raw[at_byte : int(words.end[first + s - 1]) if s else low])
+                        at_byte = int(words.end[first + e - 1])
+                    out.append(b"".join([*pieces, raw[at_byte:high]]))
+                    spans.append([{"start": int(s), "length": int(e - s)} for s, e in zip(starts, ends, strict=True)])
+                kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
+                columns = [part.column(0), pa.array(np.diff(words.first), pa.int64()), pa.array(removed, pa.int64()), pa.array(out, pa.binary()).cast(pa.string()), pa.array(spans, kind), *part.columns[3:]]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "n_words", "n_removed", "text", "spans", *[f"_k{k}" for k in range(n_held)]])
 
     return cut
 
@@ -213,68 +326,108 @@ def _cutter(window: int):
 class FingerprintIndex:
     """Runs of window fingerprints in a folder; generations are added in order of id.
 
-    A generation's ids must all be larger than those added before.  bits: buckets
-    are 2**bits; choose so that a bucket of all windows fits a task's memory.
+    bits: buckets are 2**bits; choose so that a bucket of all windows fits a task's
+    memory.  fingerprint_bits: fewer only make more candidates, never another result.
     """
 
-    FAN_IN = 4
+    FAN_IN = 2
 
-    def __init__(self, spark: SparkSession, window: int = 13, bits: int = 6):
+    def __init__(self, spark: SparkSession, window: int = 13, bits: int = 6, fingerprint_bits: int = 64):
         self.scratch = Scratch(spark, "substring")
         self.spark, self.window, self.bits = spark, window, bits
+        self.mask = np.uint64((1 << 64) - (1 << (64 - fingerprint_bits)))
         self.runs: list[tuple[int, str]] = []  # (tier, table)
-        self.generation = 0
-
-    def _empty(self) -> DataFrame:
-        return self.spark.createDataFrame([], "bucket long, batch long, payload binary")
-
-    def add(self, docs: DataFrame, bounds: list[int], keep: bool = True) -> DataFrame:
-        """(id, n_words, n_removed, text, spans) of a generation; keep: the index takes it in.
-
-        docs: (id, text), and columns _k0, _k1 and so on to pass through.  bounds: sorted ids at which a new batch begins.
-        """
+        self.asked: list[str] = []
+        self.generation = self.compactions = 0
+
+    def _table(self, names: list[str]) -> DataFrame:
+        rows = self.spark.createDataFrame([], _SENT)
+        for name in names:
+            rows = rows.unionAll(self.scratch.get(name, rows))
+        return rows
+
+    def add(self, docs: DataFrame, last: bool = False) -> None:
+        """Merge-join a generation (id, th, text, batch) with the runs and itself; last: the runs need not take it in."""
+        if not last:
+            self.compact()
         g = self.generation = self.generation + 1
-        batch = F.size(F.filter(F.lit(bounds).cast("array<long>"), lambda b: b <= F.col("id"))) if bounds else F.lit(0)
-        batched = docs.withColumn("batch", F.when(F.col("id").isNull(), F.lit(len(bounds))).otherwise(batch).cast("long"))
-        sent = batched.select("id", "text", "batch").groupBy("batch").applyInArrow(_sender(self.window, self.bits), "bucket long, batch long, payload binary")
-        history = self._empty()
-        for _, name in self.runs:
-            history = history.unionAll(self.scratch.get(name, history))
-        merged = sent.groupBy("bucket").cogroup(history.groupBy("bucket")).applyInArrow(_merge, "bucket long, batch long, payload binary")
-        if not keep:
+        sent = docs.select("id", "th", "text", "batch").groupBy("batch").applyInArrow(_sender(self.window, self.mask, self.bits), _SENT)
+        history = self._table([name for _, name in self.runs])
+        merged = sent.groupBy("bucket").cogroup(history.groupBy("bucket")).applyInArrow(_merge, _SENT)
+        if last:
             merged = merged.where("batch is not null")
-        merged = self.scratch.put(f"merged-{g}", merged.withColumn("kind", F.when(F.col("batch").isNull(), "run").otherwise("answer")), ["kind"])
+        self.scratch.put(f"merged-{g}", merged.withColumn("kind", F.when(F.col("batch").isNull(), "run").otherwise("ask")), ["kind"])
         release(self.spark)
-        answers = merged.where("kind = 'answer'").select("batch", "payload")
-        done = batched.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(
-            _cutter(self.window), "id long, n_words long, n_removed long, text string, spans array<struct<start:long,length:long>>" + "".join(f", {c} {t}" for c, t in docs.dtypes if c.startswith("_k"))
-        )
-        if keep and self.scratch.has(f"merged-{g}/kind=run"):  # not where no window was new
+        if self.scratch.has(f"merged-{g}/kind=run"):  # not where no window was new
             self.runs.append((0, f"merged-{g}/kind=run"))
-            self.compact()
-        return done
-
-    def close(self) -> None:
-        """Give up the runs."""
-        self.scratch.drop(*[name for _, name in self.runs])
-        self.runs = []
-        release(self.spark)
+        if self.scratch.has(f"merged-{g}/kind=ask"):
+            self.asked.append(f"merged-{g}/kind=ask")
 
     def compact(self) -> None:
         """Merge the newest runs while FAN_IN of them are of one tier."""
         while len(self.runs) >= self.FAN_IN and len({tier for tier, _ in self.runs[-self.FAN_IN :]}) == 1:
             tier, old = self.runs[-1][0], [name for _, name in self.runs[-self.FAN_IN :]]
-            rows = self._empty()
-            for name in old:
-                rows = rows.unionAll(self.scratch.get(name, rows))
             name = f"run-{self.generation}-{tier + 1}"
-            self.scratch.put(name, rows.groupBy("bucket").applyInArrow(_compact, "bucket long, batch long, payload binary"))
+            self.scratch.put(name, self._table(old).groupBy("bucket").applyInArrow(_compact, _SENT))
             self.runs[-self.FAN_IN :] = [(tier + 1, name)]
+            self.compactions += 1
             self.scratch.drop(*old)
             release(self.spark)
 
+    def removals(self, docs: DataFrame) -> DataFrame:
+        """(id, th, starts): the windows that an earlier text has word by word, of all documents added (docs: all of them).
+
+        The runs are given up.
+        """
+        self.scratch.drop(*[name for _, name in self.runs])
+        self.runs = []
+        held = docs.select("id", "th", "text", "batch").groupBy("batch")
+        asks = self._table(self.asked).select("batch", "payload")
+        told = held.cogroup(asks.groupBy("batch")).applyInArrow(_witness(self.window, self.mask), "asker long, id long, text string")
+        told = self.scratch.put("told", told)
+        self.scratch.drop(*self.asked)
+        release(self.spark)
+        judged = self.scratch.put("judged", held.cogroup(told.groupBy("asker")).applyInArrow(_judge(self.window, self.mask), _JUDGED))
+        self.scratch.drop("told")
+        release(self.spark)
+        found = judged.where("again is null").select("id", "th", "starts")
+        again = judged.where("again is not null").select("again").distinct()
+        n = again.count()
+        if not n:
+            return found.dropDuplicates(["id", "th"])
+        parts = [found]
+        for k in range(math.ceil(n / AGAIN)):
+            # AGAIN fingerprints or so at once
+            some = again.where(F.pmod(F.xxhash64("again"), F.lit(math.ceil(n / AGAIN))) == k).toPandas()["again"].to_numpy(np.int64)
+            shared = self.spark.sparkContext.broadcast(some)
+            windows = self.scratch.put(f"again-{k}", docs.select("id", "th", "text").mapInArrow(_windows_of(self.window, self.mask, shared), "id long, th long, start long, words binary"))
+            least = windows.groupBy("words").agg(F.min("id").alias("least"))
+            late = windows.join(least, "words").where(F.col("id") > F.col("least"))
+            parts.append(late.select("id", "th", F.array("start").alias("starts")))
+        every = parts[0]
+        for part in parts[1:]:
+            every = every.unionAll(part)
+        return every.select("id", "th", F.explode("starts").alias("s")).groupBy("id", "th").agg(F.collect_set("s").alias("starts"))
+
+
+def _batched(source: DataFrame, batches: Batches) -> Column:
+    layout = source.sparkSession.sparkContext.broadcast(batches)  # a few numbers a batch
+
+    @F.pandas_udf("long")
+    def batch(ids, texts):
+        import pandas as pd
+
+        return pd.Series(layout.value.of(ids.to_numpy(), texts.to_numpy()))
+
+    return batch("id", "th")
+
+
+def batch_size(total: int, least: int) -> int:
+    """Bytes of a batch: `least`, and more as the square root of the input, so that messages to buckets do not shrink to nothing; 256 MB at most."""
+    return int(min(1 << 28, max(least, 40 * math.sqrt(total))))
+
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, generations: int = 3, batch_bytes: int = 8 << 20, bucket_windows: int = 1 << 20, keep: tuple[str, ...] = ()) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, generations: int = 4, batch_bytes: int = 8 << 20, bucket_windows: int = 1 << 20, keep: tuple[str, ...] = (), fingerprint_bits: int = 64) -> DataFrame:
     """One row per input row: (id, n_words, n_removed, text, spans, *keep).
 
     keep: columns of the input to pass through.
@@ -283,43 +436,36 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smaller id.  text is the input without the removed words (and the separators
     before each); spans are the runs removed, in words.
 
-    The table passes through the index in `generations` parts by id, or more where
-    a part would have over 4096 batches of about `batch_bytes`.  A window matches
-    by a 64-bit fingerprint and an independent 16-bit check.
+    The table passes through the index in `generations` parts by id, whatever its
+    size; the source is read once for these and three times whole: for the words
+    that owners send, the comparison, and the cut.  Fingerprints only pick
+    candidates: words are compared before any is removed.
 
     Null text is empty; a null id counts as larger than every other and equal to
-    other null ids; rows with one id remove nothing from each other.  Tables
-    without rows give none.  Other columns are not read.
+    other null ids; rows with one id remove nothing from each other, and those with
+    one text too have one result.  Tables without rows give none.  Other columns
+    are not read.
     """
     spark = docs.sparkSession
     kind = dict(docs.dtypes)[id_col]
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)])
-    size = source.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    batches = max(1, math.ceil(size / batch_bytes))
-    generations = max(generations, math.ceil(batches / 4096))
-    per = max(1, math.ceil(batches / generations))
-    cuts = [(k + 1) / (per * generations) for k in range(per * generations - 1)]
-    bounds = source.agg(F.percentile_approx("id", cuts, 100 * per * generations).alias("q")).first()["q"] if cuts else []
-    bounds = [b + 1 for b in bounds or []]
-    if not bounds:  # no row has an id
-        generations = 1
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    source = docs.select(F.col(id_col).alias("own"), F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"), *[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)])
+    held = [f"_k{i}" for i in range(len(keep))]
+    whole = source.agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n")).first()
+    size = whole["b"] or 0
+    wanted = max(generations, math.ceil(size / batch_size(size, batch_bytes)))
+    some = source.sample(min(1.0, SAMPLE * wanted / max(1, whole["n"])), 1).select("id", F.octet_length("text").alias("b")).toPandas()
+    layout = Batches(some["id"].to_numpy(np.int64), some["b"].to_numpy(np.int64), wanted)
+    batched = source.withColumn("batch", _batched(source, layout))
     # a word takes six bytes or so; a bucket gets the windows of all generations
-    index = FingerprintIndex(spark, window, max(3, math.ceil(math.log2(max(1, size / 6 / bucket_windows)))))
-    parts = []
-    for g in range(generations):
-        low = bounds[g * per - 1] if g and bounds else None
-        high = bounds[(g + 1) * per - 1] if g < generations - 1 and bounds else None
-        part = source
-        if low is not None:
-            part = part.where(F.col("id").isNull() | (F.col("id") >= low)) if high is None else part.where(F.col("id") >= low)
-        if high is not None:
-            part = part.where(F.col("id") < high)
-        inner = sorted(set(bounds[g * per : (g + 1) * per - 1])) if bounds else []
-        done = index.add(part, inner, keep=g < generations - 1)
-        parts.append(done)
-    # the answers are all there; what is left to do reads them and the texts
-    index.close()
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionAll(part)
-    return out.select(F.col("id").cast(kind).alias(id_col), "n_words", "n_removed", "text", "spans", *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)])
+    index = FingerprintIndex(spark, window, max(3, math.ceil(math.log2(max(1, size / 6 / bucket_windows)))), fingerprint_bits)
+    cuts = [layout.count * g // generations for g in range(generations + 1)]
+    for g, (low, high) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        if low < high:
+            a, b = layout.ids(low, high)
+            index.add(batched.where(F.col("id").between(a, b)).where(F.col("batch").between(low, high - 1)), last=g == generations - 1)
+    gone = index.removals(batched)
+    joined = source.join(gone.hint("shuffle_hash"), ["id", "th"], "left").select("own", "text", "starts", *held)
+    shape = f"id {kind}, n_words long, n_removed long, text string, spans array<struct<start:long,length:long>>" + "".join(f", {c} {joined.schema[c].dataType.simpleString()}" for c in held)
+    out = joined.mapInArrow(_cutter(window, len(held)), shape)
+    return out.select(F.col("id").alias(id_col), "n_words", "n_removed", "text", "spans", *[F.col(c).alias(name) for c, name in zip(held, keep, strict=True)])

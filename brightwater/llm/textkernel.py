@@ -97,7 +97,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Words of several texts: byte spans, text numbers, 64-bit hashes, a second hash and exact numbers on demand."""
 
-    __slots__ = ("start", "end", "doc", "hash", "first", "_data")
+    __slots__ = ("start", "end", "doc", "first", "_data", "_hash")
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, in_word: np.ndarray = _IS_WORD):
         n_docs = len(offsets) - 1
@@ -118,7 +118,14 @@ class Words:
         self.first = np.searchsorted(self.start, offsets)
         self.doc = np.repeat(np.arange(n_docs), np.diff(self.first))
         self._data = _LOWER[data] if lower else data
-        self.hash = _hash_spans(self._data, self.start, self.end, 0)
+        self._hash: np.ndarray | None = None
+
+    @property
+    def hash(self) -> np.ndarray:
+        """A 64-bit hash of each word."""
+        if self._hash is None:
+            self._hash = _hash_spans(self._data, self.start, self.end, 0)
+        return self._hash
 
     def second(self) -> np.ndarray:
         """A second 64-bit hash of each word, made from its bytes."""

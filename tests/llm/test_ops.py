@@ -1,6 +1,5 @@
 """Edge rows and brute force on small tables."""
 
-import hashlib
 import math
 
 import numpy as np
@@ -8,7 +7,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from brightwater.llm import langid, licenses, packing, piecesample, substring, toxicity
+from brightwater.llm import langid, licenses, packing, piecesample, toxicity
 from brightwater.llm.embeddings import near_vectors
 from brightwater.llm.linededup import line_dedup
 from brightwater.llm.minhash import near_duplicates
@@ -38,44 +37,6 @@ def docs(spark):
     return spark.createDataFrame([(*r, "b", 1, "k", 2) for r in ROWS], SCHEMA)
 
 
-def words(text):
-    return (text or "").encode().split()
-
-
-def test_substring(docs):
-    done = substring.substring_dedup(docs, batch_bytes=400)
-    got = sorted((r.doc_id or 99, r.n_words, r.n_removed, " ".join((r.text or "").split())) for r in done.collect())
-    want = []
-    for i, text in ROWS:
-        me = i or 99
-        own = words(text)
-        drop = [False] * len(own)
-        earlier = {tuple(words(t)[k : k + 13]) for j, t in ROWS if (j or 99) < me for k in range(len(words(t)) - 12)}
-        for k in range(len(own) - 12):
-            if tuple(own[k : k + 13]) in earlier:
-                drop[k : k + 13] = [True] * 13
-        want.append((me, len(own), sum(drop), b" ".join(w for w, d in zip(own, drop, strict=True) if not d).decode()))
-    assert got == sorted(want)
-    assert substring.substring_dedup(docs.limit(0)).count() == 0
-
-
-def test_compaction(spark):
-    index = substring.FingerprintIndex(spark, bits=3)
-    index.FAN_IN = 2
-    removed = []
-    for g in range(4):
-        part = spark.createDataFrame([(g, PASSAGE + f" own{g} " + " ".join(f"g{g}x{k}" for k in range(20)))], "id long, text string")
-        removed.append(index.add(part, []).first().n_removed)
-    assert removed == [0, 40, 40, 40] and len(index.runs) == 1
-
-
-def test_pack_format():
-    hashes = np.sort(np.random.default_rng(0).integers(0, 1 << 63, 1000, dtype=np.uint64))
-    checks = (hashes % np.uint64(65536)).astype(np.uint16)
-    a, b = substring.unpack(substring.pack(hashes, checks))
-    assert np.array_equal(a, hashes) and np.array_equal(b, checks)
-
-
 def test_minhash(docs):
     got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(docs).collect()}
     assert (2, 10, 1, False) in got and (1, 10, 1, True) in got
@@ -233,7 +194,3 @@ def test_pipeline_on_edges(spark, docs, tmp_path):
     docs.select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.length("text").cast("long").alias("n_chars")).write.parquet(str(tmp_path / "documents.parquet"))
     rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {1, 3, 9, 10} <= {r.doc_id for r in rows} and not {2, 6, 7, 8} & {r.doc_id for r in rows}
-
-
-def test_digest():
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
