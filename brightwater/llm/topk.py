@@ -12,13 +12,15 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 from .embeddings import matrix
-from .textkernel import lean, lean_group
+from .textkernel import lean
 
 _LONG = np.iinfo(np.int64)
+#: Bytes of a block of candidates and of a block of queries, and blocks that one task searches.
+BLOCK, QUERIES, STRAND = 2 << 20, 256 << 10, 64
 
 
 def _quantiser(scale: int):
-    """Usable vectors as whole numbers: (id, dim, q, query)."""
+    """Usable vectors as whole numbers: (id, dim, norm, q, query)."""
 
     @lean
     def quantise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -26,113 +28,171 @@ def _quantiser(scale: int):
             lengths, flat, starts = matrix(batch.column(1))
             rows = np.flatnonzero(lengths > 0)
             whole = np.floor(scale * flat).clip(-(2.0**62), 2.0**62)
-            q = [whole[starts[r] : starts[r] + lengths[r]].astype("<i8").tobytes() for r in rows]
+            parts = [whole[starts[r] : starts[r] + lengths[r]] for r in rows]
             at = pa.array(rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(lengths[rows].astype(np.int32)), pa.array(q, pa.binary()), batch.column(2).take(at)], names=["id", "dim", "q", "query"])
+            columns = [batch.column(0).take(at), pa.array(lengths[rows].astype(np.int32)), pa.array([float(np.sqrt(x @ x)) for x in parts], pa.float64()), pa.array([x.astype("<i8").tobytes() for x in parts], pa.binary()), batch.column(2).take(at)]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "dim", "norm", "q", "query"])
 
     return quantise
 
 
-@lean_group
-def _packed(key: tuple, table: pa.Table) -> pa.Table:
-    """A block as one row: its ids and its matrix."""
-    order = np.argsort(table["id"].to_numpy(), kind="stable")
-    ids = table["id"].to_numpy()[order]
-    rows = table["q"].take(pa.array(order)).to_pylist()
-    return pa.table({"dim": pa.array([key[0].as_py()], pa.int32()), "block": pa.array([key[1].as_py()], pa.int64()), "ids": pa.array([ids.astype("<i8").tobytes()], pa.binary()), "m": pa.array([b"".join(rows)], pa.binary())})
+_PACKED = "dim int, norm double, ids binary, m binary"
 
 
-def threshold_topk(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query, row ids, scores) of the k best rows of the block, ties to the smaller id.
+def _packer(size: int):
+    """Rows of one dimension that follow each other, as one row of `size` bytes or so: their ids and their matrix."""
+
+    @lean
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, float, bytes]] = []
+        dim = held_bytes = 0
+
+        def out() -> pa.RecordBatch:
+            ids = np.array([h[0] for h in held], "<i8").tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([max(h[1] for h in held)], pa.float64()), pa.array([ids], pa.binary()), pa.array([b"".join(h[2] for h in held)], pa.binary())], names=["dim", "norm", "ids", "m"])
+
+        for batch in batches:
+            for i, d, norm, q in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if held and (d != dim or held_bytes >= size):
+                    yield out()
+                    held, held_bytes = [], 0
+                dim = d
+                held.append((i, norm, q))
+                held_bytes += len(q)
+        if held:
+            yield out()
+
+    return pack
+
+
+class Best:
+    """The k best rows so far of each query of a block, ties to the smaller id."""
+
+    def __init__(self, queries: np.ndarray, ids: np.ndarray, k: int):
+        self.queries, self.ids, self.k = queries, ids, k
+        self.found: list[list[tuple[int, int]]] = [[] for _ in ids]  # (minus score, row id), best first
+        #: Rows scored for any query.
+        self.scored = 0
+
+    def least(self, w: int) -> float:
+        """The kth score, that a row must reach."""
+        return -self.found[w][-1][0] if len(self.found[w]) == self.k else -math.inf
+
+    def take(self, w: int, scores: np.ndarray, ids: np.ndarray) -> None:
+        other = ids != self.ids[w]
+        scores, ids = scores[other], ids[other]
+        if len(scores) > self.k:
+            least = np.partition(scores, len(scores) - self.k)[len(scores) - self.k]
+            keep = scores >= least
+            scores, ids = scores[keep], ids[keep]
+        keep = scores >= self.least(w)
+        if keep.any():
+            self.found[w] = sorted(self.found[w] + [(-int(s), int(i)) for s, i in zip(scores[keep], ids[keep], strict=True)])[: self.k]
+
+
+def threshold_search(best: Best, rows: np.ndarray, row_ids: np.ndarray, depth: int = 64) -> None:
+    """Improve the best rows of each query by those of one block.
 
     Each dimension has its rows sorted by value; a query reads it from the top where
-    its own component is positive and from the bottom where negative.  All lists are
-    read to a depth, rows seen in any list are scored in full, and the bound is the
-    score of a row that stands at that depth in every list.  A query stops when its
-    kth score is above the bound (an equal one could still win by its id); the others
-    go on to four times the depth.
+    its own component is positive, from the bottom where negative, and not at all
+    where it is nothing.  Lists are read to a depth; rows that come up for the first
+    time, and only these, are scored.  The bound is the score of a row that stands
+    at that depth in every list: a query whose kth score, of this block or of those
+    before, is above it stops (an equal one could still win by its id), the others
+    read on to four times the depth.  A block whose first rows cannot beat the kth
+    score is not read.
     """
     n, dim = rows.shape
     order = np.argsort(rows, axis=0, kind="stable")
     rising = np.take_along_axis(rows, order, 0)
-    rank = np.empty_like(order)
-    np.put_along_axis(rank, order, np.arange(n)[:, None], 0)
-    largest = float(np.abs(rows).astype(np.float64).max(initial=0)) * float(np.abs(queries).astype(np.float64).max(initial=0)) * dim
+    largest = float(np.abs(rows).astype(np.float64).max(initial=0)) * float(np.abs(best.queries).astype(np.float64).max(initial=0)) * dim
     kind = np.float64 if largest < 2.0**53 else object
-    q, r = queries.astype(kind), rows.astype(kind)
-    up, down = np.where(queries > 0, q, 0), np.where(queries < 0, q, 0)
-    reads_up, reads_down = (queries > 0).astype(np.float32), (queries < 0).astype(np.float32)
-    scores = q @ r.T  # random accesses, in bulk
-    own = query_ids[:, None] == row_ids[None, :]
-    waiting = np.arange(len(queries))
-    depth = max(1, min(n, 64))
-    while len(waiting):
-        seen = (reads_up[waiting] @ (rank >= n - depth).T.astype(np.float32) + reads_down[waiting] @ (rank < depth).T.astype(np.float32)) > 0
-        if depth == n:
-            seen[:] = True
-        bound = up[waiting] @ rising[n - depth].astype(kind) + down[waiting] @ rising[depth - 1].astype(kind)
-        left = []
-        for w, mask, top in zip(waiting, seen & ~own[waiting], bound, strict=True):
-            at = np.flatnonzero(mask)
-            value = scores[w, at]
-            if depth < n and (len(at) < k or not np.partition(value, len(value) - k)[len(value) - k] > top):
-                left.append(w)
-                continue
-            if len(at) > k:
-                least = np.partition(value, len(value) - k)[len(value) - k]
-                at, value = at[value >= least], value[value >= least]
-            best = np.lexsort((row_ids[at], -value))[:k] if kind is not object else np.array(sorted(range(len(at)), key=lambda i: (-value[i], row_ids[at[i]]))[:k], np.int64)
-            yield int(w), row_ids[at[best]], np.array([min(max(int(x), _LONG.min), _LONG.max) for x in value[best]], np.int64)
-        waiting = np.array(left, np.int64)
-        depth = min(n, depth * 4)
+    r, rising = rows.astype(kind), rising.astype(kind)
+    for w, q in enumerate(best.queries.astype(kind)):
+        up, down = np.flatnonzero(q > 0), np.flatnonzero(q < 0)
+        if best.least(w) > q[up] @ rising[-1, up] + q[down] @ rising[0, down]:
+            continue
+        seen = np.zeros(n, bool)
+        read, to = 0, min(n, depth)
+        while True:
+            new = np.zeros(n, bool)
+            if to == n:
+                new[:] = True
+            else:
+                new[order[n - to : n - read, up]] = True
+                new[order[read:to, down]] = True
+            new &= ~seen
+            seen |= new
+            at = np.flatnonzero(new)
+            best.scored += len(at)
+            best.take(w, r[at] @ q, row_ids[at])
+            if to == n or best.least(w) > q[up] @ rising[n - to, up] + q[down] @ rising[to - 1, down]:
+                break
+            read, to = to, min(n, to * 4)
 
 
 def _searcher(k: int):
+    """(query_id, id, score) of the best rows of a strand; its blocks follow each other, the longest vectors first."""
+
     @lean
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, best = None, None
+
+        def out() -> Iterator[pa.RecordBatch]:
+            rows = [(int(q), i, min(max(-s, _LONG.min), _LONG.max)) for q, found in zip(best.ids, best.found, strict=True) for s, i in found] if best else []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in rows], pa.int64()) for c in range(3)], names=["query_id", "id", "score"])
+
         for batch in batches:
             for i in range(batch.num_rows):
-                dim = batch.column(0)[i].as_py()
-                qid, rid = (np.frombuffer(batch.column(c)[i].as_py(), "<i8") for c in (1, 3))
-                q, r = (np.frombuffer(batch.column(c)[i].as_py(), "<i8").reshape(-1, dim) for c in (2, 4))
-                out_q, out_v, out_s = [], [], []
-                for w, ids, scores in threshold_topk(q, qid, r, rid, k):
-                    out_q.append(np.full(len(ids), qid[w])), out_v.append(ids), out_s.append(scores)
-                if out_q:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_q, out_v, out_s)], names=["query_id", "id", "score"])
+                strand, dim, qi, qm, ids, m = (c[i].as_py() for c in batch.columns[:6])
+                if key != (strand, dim, qi):
+                    yield from out()
+                    key, best = (strand, dim, qi), Best(np.frombuffer(qm, "<i8").reshape(-1, dim), np.frombuffer(qi, "<i8"), k)
+                threshold_search(best, np.frombuffer(m, "<i8").reshape(-1, dim), np.frombuffer(ids, "<i8"))
+        yield from out()
 
     return search
 
 
-def exact_topk(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, scale: int = 256, block: int = 8192, query_block: int = 512) -> DataFrame:
+def exact_topk(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, scale: int = 256, block: int = BLOCK, query_block: int = QUERIES) -> DataFrame:
     """(query_id, rank, id, score): each query's k best other rows by inner product of floor(scale * x).
 
     Queries are the rows for which is_query holds; candidates are all rows but the
-    query's own.  Ties go to the smaller id; fewer candidates give fewer rows.  The
-    threshold algorithm runs over each pair of a query block and a candidate block,
-    and the blocks' winners are ranked.
+    query's own.  Ties go to the smaller id; fewer candidates give fewer rows.
+
+    Candidates are dealt into blocks by their length (Euclidean norm), and blocks
+    into strands of STRAND or so.  A task takes a block of queries through one
+    strand, the longest vectors first, and carries each query's kth score from block
+    to block; the strands' winners are ranked.
 
     Rows with a null id, and vectors that are null or empty or hold null or
     non-finite components, take no part; vectors of different lengths do not meet.
     Rows that repeat an id count once (the one with the smallest hash).  Scores are
-    exact; one beyond a long is the nearest long.
+    exact; one beyond a long is the nearest long.  An empty table gives an empty
+    result.  Other columns are not read.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "topk")
     kind = dict(vectors.dtypes)[id_col]
     source = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("e"), F.coalesce(is_query, F.lit(False)).alias("query")).where("id is not null")
     one = source.groupBy("id").agg(F.min_by(F.struct("e", "query"), F.xxhash64("e")).alias("s")).select("id", "s.e", "s.query")
-    ready = scratch.put("ready", one.mapInArrow(_quantiser(scale), "id long, dim int, q binary, query boolean"))
-    size = ready.agg(F.count("*").alias("n"), F.count_if("query").alias("m")).first()
-    blocks, query_blocks = max(1, math.ceil(size["n"] / block)), max(1, math.ceil(size["m"] / query_block))
-
-    def packed(rows: DataFrame, n: int) -> DataFrame:
-        return rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("long")).groupBy("dim", "block").applyInArrow(_packed, "dim int, block long, ids binary, m binary")
-
-    # a row is a block here: each query block goes to every candidate block
-    q = packed(ready.where("query"), query_blocks).select("dim", F.col("ids").alias("qi"), F.col("m").alias("qm"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-    c = packed(ready, blocks)
-    pairs = q.join(c, ["dim", "block"]).select("dim", "qi", "qm", "ids", "m").repartition(max(1, min(blocks * query_blocks, 100_000)))
-    best = pairs.mapInArrow(_searcher(k), "query_id long, id long, score long")
+    ready = scratch.put("ready", one.mapInArrow(_quantiser(scale), "id long, dim int, norm double, q binary, query boolean"))
+    size = ready.agg(F.coalesce(F.sum("dim"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(F.col("query"), F.col("dim"))), F.lit(0)).alias("m")).first()
+    blocks, query_blocks = max(1, math.ceil(size["n"] * 8 / block)), max(1, math.ceil(size["m"] * 8 / query_block))
+
+    def packed(name: str, rows: DataFrame, n: int, limit: int) -> DataFrame:
+        order = [F.col("dim"), F.desc("norm"), F.col("id")]
+        near = rows.select("id", "dim", "norm", "q").repartitionByRange(n, *order).sortWithinPartitions(*order)
+        return scratch.put(name, near.mapInArrow(_packer(limit), _PACKED))
+
+    strands = max(1, math.ceil(blocks / STRAND))
+    q = packed("queries", ready.where("query"), query_blocks, query_block)
+    q = q.select("dim", F.col("ids").alias("qi"), F.col("m").alias("qm"), F.explode(F.sequence(F.lit(0), F.lit(strands - 1))).alias("strand"))
+    c = packed("blocks", ready, blocks, block).withColumn("strand", F.pmod(F.xxhash64("ids"), F.lit(strands)).cast("int"))
+    # the stated query set against all rows, in blocks
+    pairs = q.join(c, ["dim", "strand"]).select("strand", "dim", "qi", "qm", "ids", "m", "norm")
+    dealt = pairs.repartition(max(1, min(strands * query_blocks, 100_000)), "strand", "dim", "qi").sortWithinPartitions("strand", "dim", "qi", F.desc("norm"))
+    best = dealt.mapInArrow(_searcher(k), "query_id long, id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("query_id").cast(kind), F.col("rank").cast("int").alias("rank"), F.col("id").cast(kind).alias(id_col), "score")

@@ -114,7 +114,7 @@ def test_vectors(vectors):
 
 def test_topk(vectors):
     got = {}
-    for r in exact_topk(vectors, F.col("vec_id") % 10 == 0, block=16).collect():
+    for r in exact_topk(vectors, F.col("vec_id") % 10 == 0, block=1024, query_block=256).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
     good = usable(vectors.collect())
     whole = {r.vec_id: np.floor(256 * np.array(r.embedding, float)).astype(int) for r in good}
