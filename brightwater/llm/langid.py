@@ -3,7 +3,9 @@
 Each language has a probability for every piece of a fixed public vocabulary.  A
 word's probability is the sum over all its segmentations, by the forward
 algorithm; a text's is the product over its words.  The probabilities are fitted
-by expectation-maximisation over the same lattices on a bounded sample.
+by expectation-maximisation over the same lattices on a bounded sample.  A text's
+margin holds its best language against a background in which letters are drawn one
+by one.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import ship
 from .textkernel import lean, slices, trim
@@ -41,23 +44,31 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class PieceModel:
-    """log weights of pieces by language; pickles small."""
+    """Weights of pieces by language, and of single letters in all; pickles small."""
 
-    def __init__(self, path: str, langs: list[str], weight: np.ndarray, prior: np.ndarray):
-        self.path, self.langs, self.weight, self.prior = path, langs, weight, prior
+    def __init__(self, path: str, langs: list[str], weight: np.ndarray, prior: np.ndarray, background: np.ndarray):
+        self.path, self.langs, self.weight, self.prior, self.background = path, langs, weight, prior, background
 
 
 def fit(docs: DataFrame, train, vocabulary_path: str, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", docs_per_language: int = 300, iterations: int = 3, smoothing: float = 0.1) -> PieceModel:
-    """Fit on at most docs_per_language rows of each language (a documented bound), chosen by a hash of the id.
+    """Fit on about docs_per_language rows of each language (a documented bound), chosen by a hash of the id.
 
-    train: condition for rows to learn from; rows with null language or text are left out.
+    train: condition for rows to learn from; rows with null language, text or id are
+    left out.  A first pass counts each language's rows, so that only about twice
+    the bound of them meet to be ranked, however many there are.  Rows that repeat a
+    chosen id and language are all taken: with ids that repeat, the sample can
+    exceed the bound by as many.
     """
     from .lattice import vocabulary, word_codes
 
     ship(docs.sparkSession)
-    labelled = docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    labelled = docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
+    # a hash below the share that leaves twice the bound, 16 standard deviations and all of the rare languages
+    share = labelled.groupBy(F.col(lang_col).alias("l")).agg(((2 * docs_per_language + 400) / F.count("*")).alias("share"))
+    draw = F.pmod(F.xxhash64(F.lit(41), id_col), F.lit(1 << 30)) / float(1 << 30)
+    drawn = labelled.select(id_col, lang_col).join(F.broadcast(share), F.col(lang_col) == F.col("l")).where(draw < F.col("share")).select(id_col, lang_col)  # a row a language
     rank = F.row_number().over(Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col))
-    chosen = labelled.select(id_col, lang_col).withColumn("r", rank).where(F.col("r") <= docs_per_language).select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"))
+    chosen = drawn.withColumn("r", rank).where(F.col("r") <= docs_per_language).select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"))
     # as many rows as the bound allows for each language
     sample = labelled.join(F.broadcast(chosen), (F.col(id_col) == F.col("i")) & (F.col(lang_col) == F.col("l")), "left_semi").select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     rows = sample.mapInArrow(_counter, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toPandas()
@@ -72,44 +83,51 @@ def fit(docs: DataFrame, train, vocabulary_path: str, lang_col: str = "lang", id
             _, share = lattice.forward(weight[:, k : k + 1], shares=True)
             uses = lattice.expected(share, counts, pieces.size + 1) + smoothing
             weight[:, k] = uses / uses.sum()
+    words = rows.groupby("word", sort=True)["n"].sum()
+    codes, lengths = word_codes([" " + w for w in words.index])
+    counts = np.bincount(pieces.letters(codes), np.repeat(words.to_numpy(np.float64), lengths), pieces.size + 1).astype(np.float64)
+    counts[pieces.letters(np.array(pieces.single))] += smoothing
+    counts[-1] += smoothing
     trim()
-    return PieceModel(vocabulary_path, langs, weight, np.full(len(langs), -np.log(max(1, len(langs)))))
+    return PieceModel(vocabulary_path, langs, weight, np.full(len(langs), -np.log(max(1, len(langs)))), counts / counts.sum())
 
 
 class _Scores(dict):
     """log probability of a word in each language, by row number of a table."""
 
-    def __init__(self, model: PieceModel):
+    def __init__(self, model: PieceModel, margin: bool):
         super().__init__()
         from .lattice import vocabulary
 
-        self.model, self.pieces = model, vocabulary(model.path)
-        self.table = np.empty((_CACHE, len(model.langs)))
+        self.weight, self.pieces = np.column_stack([model.weight, model.background]) if margin else model.weight, vocabulary(model.path)
+        self.width = self.weight.shape[1]
+        self.table = np.empty((_CACHE, self.width))
 
     def learn(self, words: list[str]) -> np.ndarray:
         from .lattice import word_codes
 
-        return self.pieces.lattice(*word_codes([" " + w for w in words])).forward(self.model.weight)[0]
+        return self.pieces.lattice(*word_codes([" " + w for w in words])).forward(self.weight)[0]
 
 
-def _predictor(shared, keep: bool):
+def _predictor(shared, margin: bool):
     @lean
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        scores = _Scores(model)
+        scores = _Scores(model, margin)
+        n_langs = len(model.langs)
         names = np.array([*model.langs, UNKNOWN], dtype=object)
         for batch in batches:
             for a, b in slices(batch.column(1)):
                 texts = [_words(t) for t in batch.column(1).slice(a, b - a).to_pylist()]
                 if not model.langs:
-                    pred, best = np.zeros(b - a, np.int64), np.zeros(b - a)
+                    pred, best, above = np.zeros(b - a, np.int64), np.zeros(b - a), np.zeros(b - a)
                 else:
                     fresh = list({w for words in texts for w in words} - scores.keys())
                     if len(scores) + len(fresh) > _CACHE:
                         scores.clear()
                         fresh = list({w for words in texts for w in words})
                     # a slice with more distinct words than the cache holds gets a table of its own
-                    table = scores.table if len(scores) + len(fresh) <= _CACHE else np.empty((len(fresh), len(model.langs)))
+                    table = scores.table if len(scores) + len(fresh) <= _CACHE else np.empty((len(fresh), scores.width))
                     at = len(scores)
                     for k in range(0, len(fresh), 10_000):
                         part = fresh[k : k + 10_000]
@@ -117,11 +135,12 @@ def _predictor(shared, keep: bool):
                     scores.update(zip(fresh, range(at, at + len(fresh)), strict=True))
                     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
                     index = np.fromiter((scores[w] for words in texts for w in words), np.int64, int(sizes.sum()))
-                    total = np.zeros((len(texts), len(model.langs)))
+                    total = np.zeros((len(texts), scores.width))
                     full = np.flatnonzero(sizes)
                     if len(full):
                         total[full] = np.add.reduceat(table[index], (np.cumsum(sizes) - sizes)[full], axis=0)
-                    total += model.prior
+                    above = total[:, :n_langs].max(axis=1) - total[:, -1] if margin else np.zeros(b - a)
+                    total = total[:, :n_langs] + model.prior
                     total -= total.max(axis=1, keepdims=True)
                     chance = np.exp(total)
                     chance /= chance.sum(axis=1, keepdims=True)
@@ -130,30 +149,34 @@ def _predictor(shared, keep: bool):
                     pred[none], best[none] = len(model.langs), 0.0
                     if table is not scores.table:
                         scores.clear()
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(names[pred], pa.string()), pa.array(best)], names=["id", "lang_pred", "score"]) if not keep else pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(names[pred], pa.string()), pa.array(best), *(c.slice(a, b - a) for c in batch.columns[2:])], names=["id", "lang_pred", "score", *batch.schema.names[2:]])
+                yield pa.RecordBatch.from_arrays([pa.array(names[pred], pa.string()), pa.array(best), pa.array(above), *(c.slice(a, b - a) for c in [batch.column(0), *batch.columns[2:]])], names=["lang_pred", "score", "margin", "id", *batch.schema.names[2:]])
 
     return predict
 
 
-def identify(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per input row: (id, lang_pred, score, *keep).
+def identify(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), margin: bool = False) -> DataFrame:
+    """One row per input row: (id, lang_pred, score, *keep), or with margin (id, lang_pred, score, margin, *keep).
 
     keep: columns of the input to pass through.
-    score is the probability of the predicted language given the text.  Null text
-    and text without a letter: `und`, 0.  With nothing learned every text is `und`.
-    Null ids are kept; repeated rows are scored each; an empty table gives an empty
-    result.  Whole texts count, of any length; other columns are not read.
+    score is the probability of the predicted language given the text.  margin is
+    how far the best language's log probability is above that of single letters
+    drawn from all languages: far below 0 the text is no language at all, and near 0
+    it is too short to tell.  Null text and text without a letter: `und`, 0 and 0.  With nothing learned
+    every text is `und`.  Null ids are kept; repeated rows are scored each; an empty
+    table gives an empty result.  Whole texts count, of any length; other columns
+    are not read.
     """
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)  # vocabulary size x languages
     kind = dict(docs.dtypes)[id_col]
     # numbered names inside, so that no column of the input can clash
-    fields = [docs.schema[c] for c in keep]
     held = [F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)]
-    shape = "id long, lang_pred string, score double" + "".join(f", _k{i} {f.dataType.simpleString()}" for i, f in enumerate(fields))
-    out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *held).mapInArrow(_predictor(shared, bool(keep)), shape)
-    return out.select(F.col("id").cast(kind).alias(id_col), "lang_pred", "score", *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)])
+    shape = T.StructType.fromDDL(f"lang_pred string, score double, margin double, id {kind}")
+    for i, c in enumerate(keep):
+        shape = shape.add(f"_k{i}", docs.schema[c].dataType)
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *held).mapInArrow(_predictor(shared, margin), shape)
+    return out.select(F.col("id").alias(id_col), "lang_pred", "score", *(["margin"] if margin else []), *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)])
 
 
 def bucket(id_col: str, n: int):

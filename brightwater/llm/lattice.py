@@ -56,6 +56,16 @@ class Vocabulary:
                 raise ValueError("two pieces share a hash")
             self._by_length.append((keys, number, longer))
 
+        #: Code points that are pieces by themselves, in order, and their numbers.
+        alone = sorted((ord(p), i) for i, p in enumerate(pieces) if len(p) == 1)
+        self.single, self._single_piece = [c for c, _ in alone], np.array([i for _, i in alone])
+
+    def letters(self, codes: np.ndarray) -> np.ndarray:
+        """The piece that is just each character, or the fallback."""
+        slot = np.searchsorted(self.single, codes)
+        slot[slot == len(self.single)] = 0
+        return np.where(np.array(self.single)[slot] == codes, self._single_piece[slot], self.size)
+
     def lattice(self, codes: np.ndarray, lengths: np.ndarray) -> Lattice:
         return Lattice(self, codes, lengths)
 

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Scratch, release
 from .textkernel import Words, buffers, exact_runs, lean, lean_group, slices
@@ -466,6 +467,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             index.add(batched.where(F.col("id").between(a, b)).where(F.col("batch").between(low, high - 1)), last=g == generations - 1)
     gone = index.removals(batched)
     joined = source.join(gone.hint("shuffle_hash"), ["id", "th"], "left").select("own", "text", "starts", *held)
-    shape = f"id {kind}, n_words long, n_removed long, text string, spans array<struct<start:long,length:long>>" + "".join(f", {c} {joined.schema[c].dataType.simpleString()}" for c in held)
+    shape = T.StructType.fromDDL(f"id {kind}, n_words long, n_removed long, text string, spans array<struct<start:long,length:long>>")
+    for c in held:
+        shape = shape.add(c, joined.schema[c].dataType)
     out = joined.mapInArrow(_cutter(window, len(held)), shape)
     return out.select(F.col("id").alias(id_col), "n_words", "n_removed", "text", "spans", *[F.col(c).alias(name) for c, name in zip(held, keep, strict=True)])
