@@ -20,7 +20,7 @@ from brightwater.llm.substring import substring_dedup
 
 
 #: How much likelier a text must be as single letters than in any language, in nats, to be rejected.
-NO_LANGUAGE = 3.0
+NO_LANGUAGE = 5.0
 
 
 def _quoted(name: str) -> str:
