@@ -54,6 +54,7 @@ def test_incremental_and_joins(spark):
 def test_udfs():
     assert U.damerau_distance("ca", "abc") == 2
     assert round(U.jaro_winkler_similarity("MARTHA", "MARHTA"), 4) == 0.9611
+    assert round(U.jaro_winkler_similarity("abcdxxxx", "abcdyyyy"), 4) == round(2 / 3 + 0.3 / 3, 4)
     assert U.merge_patch({"a": 1, "b": {"c": 2}}, {"b": {"c": None}, "d": 3}) == {"a": 1, "b": {}, "d": 3}
 
 
