@@ -3,29 +3,34 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 
 def _cut(df: DataFrame) -> DataFrame:
     """Without its lineage, in the checkpoint folder."""
-    from tempfile import mkdtemp
-
     context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir", None) and not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(mkdtemp(prefix="brightwater-"))
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 
+def _all(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionAll, parts)
+
+
 def union_distinct(seed: DataFrame, step: Callable[[DataFrame], DataFrame], limit: int = 1000) -> DataFrame:
     """WITH RECURSIVE ... UNION: rows new in each round feed the next, until there are none."""
-    seen = frontier = _cut(seed.distinct())
+    seen = [_cut(seed.distinct())]  # a frontier a round, each written once
     for _ in range(limit):
-        frontier = _cut(step(frontier).distinct().join(seen, [*seen.columns], "left_anti"))
+        frontier = _cut(step(seen[-1]).distinct().join(_all(seen), [*seen[0].columns], "left_anti"))
         if frontier.isEmpty():
-            return seen
-        seen = _cut(seen.unionAll(frontier))
+            return _all(seen)
+        seen.append(frontier)
     raise RuntimeError(f"recursion did not end in {limit} rounds")
 
 
@@ -34,14 +39,14 @@ def reachable(edges: DataFrame, start: DataFrame, low: int = 1, high: int = 32)
     if high > 32:
         raise ValueError("at most 32 hops")
     frontier = start.select(F.col(start.columns[0]).alias("start"), F.col(start.columns[0]).alias("node")).distinct().withColumn("depth", F.lit(0))
-    seen = frontier = _cut(frontier)
+    seen = [_cut(frontier)]
     for depth in range(1, high + 1):
-        step = frontier.join(edges, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
-        frontier = _cut(step.join(seen, ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        step = seen[-1].join(edges, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
+        frontier = _cut(step.join(_all(seen), ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
-        seen = _cut(seen.unionAll(frontier))
-    return seen.where((F.col("depth") >= low) & (F.col("depth") <= high))
+        seen.append(frontier)
+    return _all(seen).where((F.col("depth") >= low) & (F.col("depth") <= high))
 
 
 def simple_paths(edges: DataFrame, start: DataFrame, low: int = 1, high: int = 4, limit: int = 1_000_000) -> DataFrame:
@@ -55,3 +60,15 @@ def simple_paths(edges: DataFrame, start: DataFrame, low: int = 1, high: int = 4
         if depth >= low:
             out = rows if out is None else out.unionAll(rows)
     return out
+
+
+def match_path(edges: DataFrame, start: DataFrame, steps: list[tuple[str, str | None]]) -> DataFrame:
+    """(start, node): a fixed path; each step is a direction (out, in or both) and a condition on the edge's columns."""
+    rows = start.select(F.col(start.columns[0]).alias("start"), F.col(start.columns[0]).alias("node")).distinct()
+    for direction, condition in steps:
+        kept = edges.where(condition) if condition else edges
+        ways = [kept.select(F.col("src").alias("_a"), F.col("dst").alias("_b"))] if direction in ("out", "both") else []
+        if direction in ("in", "both"):
+            ways.append(kept.select(F.col("dst").alias("_a"), F.col("src").alias("_b")))
+        rows = rows.join(_all(ways), F.col("node") == F.col("_a")).select("start", F.col("_b").alias("node")).distinct()
+    return rows

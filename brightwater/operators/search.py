@@ -105,6 +105,13 @@ def contains(ring: list[tuple[float, float]], lng: Column, lat: Column) -> Colum
     return inside
 
 
+def inside_ring(ring: Column, lng: Column, lat: Column) -> Column:
+    """Point in polygon for a column of rings (arrays of x and y), by the crossings of a ray (even-odd)."""
+    after = F.concat(F.slice(ring, 2, F.size(ring) - 1), F.slice(ring, 1, 1))
+    crosses = F.zip_with(ring, after, lambda a, b: ((lat < a["y"]) != (lat < b["y"])) & (lng < (b["x"] - a["x"]) * (lat - a["y"]) / F.nullif(b["y"] - a["y"], F.lit(0.0)) + a["x"]))
+    return F.size(F.filter(crosses, lambda c: c)) % 2 == 1
+
+
 def inverse_links(parents: DataFrame, children: DataFrame, key: str, foreign: str, order: list[str], item: str, offset: int = 0, limit: int = 100) -> DataFrame:
     """Parents with a page of their children's items in order."""
     ranked = children.withColumn("_r", F.row_number().over(Window.partitionBy(foreign).orderBy(*order))).where((F.col("_r") > offset) & (F.col("_r") <= offset + limit))

@@ -51,29 +51,6 @@ def _phrase(spark, sf_dir):
     return table(spark, sf_dir, "documents").where(search.phrase(F.col("text"), ["the", "mit", "license"])).select("doc_id")
 
 
-def _edges(spark, sf_dir):
-    return table(spark, sf_dir, "events").select((F.col("user_id") % 40).alias("src"), (F.col("event_id") * 7 % 40).alias("dst")).where("src % 5 = event_id % 5" if False else "src != dst").where("(src + dst) % 6 = 0").distinct()
-
-
-_E = "e AS (SELECT DISTINCT user_id % 40 AS src, event_id * 7 % 40 AS dst FROM events WHERE user_id % 40 <> event_id * 7 % 40 AND (user_id % 40 + event_id * 7 % 40) % 6 = 0)"
-
-
-@register("graph_two_hop", f"WITH {_E} SELECT DISTINCT a.src, b.dst FROM e a JOIN e b ON a.dst = b.src")
-def _two_hop(spark, sf_dir):
-    e = _edges(spark, sf_dir)
-    return e.alias("a").join(e.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst").distinct()
-
-
-@register("graph_reachable", f"WITH RECURSIVE {_E}, r AS (SELECT CAST(1 AS BIGINT) AS node, 0 AS depth UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON r.node = e.src WHERE r.depth < 6) SELECT CAST(1 AS BIGINT) AS start, node, min(depth) AS depth FROM r GROUP BY node HAVING min(depth) >= 1")
-def _reachable(spark, sf_dir):
-    return recursive.reachable(_edges(spark, sf_dir), spark.sql("SELECT CAST(1 AS BIGINT) AS s"), 1, 6)
-
-
-@register("graph_paths", f"WITH RECURSIVE {_E}, r AS (SELECT CAST(1 AS BIGINT) AS node, [CAST(1 AS BIGINT)] AS path UNION ALL SELECT e.dst, list_append(path, e.dst) FROM r JOIN e ON r.node = e.src WHERE len(path) <= 2 AND NOT list_contains(path, e.dst)) SELECT CAST(1 AS BIGINT) AS start, node, path FROM r WHERE len(path) > 1")
-def _paths(spark, sf_dir):
-    return recursive.simple_paths(_edges(spark, sf_dir), spark.sql("SELECT CAST(1 AS BIGINT) AS s"), 1, 2)
-
-
 def _whole_edges(spark, sf_dir):
     """Customers and their orders both ways, orders to parts and suppliers, those to nations, nations to regions: whole keys, all rows."""
     o, i, s, n = (table(spark, sf_dir, name) for name in ("orders", "lineitem", "supplier", "nation"))
@@ -96,20 +73,20 @@ _W = """e AS (SELECT DISTINCT src, dst FROM (
     WHERE src IS NOT NULL AND dst IS NOT NULL)"""
 
 
-@register("graph_two_hop_whole", f"WITH {_W} SELECT DISTINCT a.src, b.dst FROM e a JOIN e b ON a.dst = b.src")
-def _two_hop_whole(spark, sf_dir):
+@register("graph_two_hop", f"WITH {_W} SELECT DISTINCT a.src, b.dst FROM e a JOIN e b ON a.dst = b.src")
+def _two_hop(spark, sf_dir):
     e = _whole_edges(spark, sf_dir)
     return e.alias("a").join(e.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst").distinct()
 
 
-@register("graph_reachable_whole", f"WITH RECURSIVE {_W}, r AS (SELECT DISTINCT src AS start, src AS node, 0 AS depth FROM e WHERE src LIKE 'c%' UNION SELECT r.start, e.dst, r.depth + 1 FROM r JOIN e ON r.node = e.src WHERE r.depth < 6) SELECT start, node, min(depth) AS depth FROM r GROUP BY start, node HAVING min(depth) >= 1")
-def _reachable_whole(spark, sf_dir):
+@register("graph_reachable", f"WITH RECURSIVE {_W}, r AS (SELECT DISTINCT src AS start, src AS node, 0 AS depth FROM e WHERE src LIKE 'c%' UNION SELECT r.start, e.dst, r.depth + 1 FROM r JOIN e ON r.node = e.src WHERE r.depth < 6) SELECT start, node, min(depth) AS depth FROM r GROUP BY start, node HAVING min(depth) >= 1")
+def _reachable(spark, sf_dir):
     e = _whole_edges(spark, sf_dir)
     return recursive.reachable(e, e.where("src LIKE 'c%'").select("src"), 1, 6)
 
 
-@register("graph_paths_whole", f"WITH RECURSIVE {_W}, r AS (SELECT 'c1' AS start, 'c1' AS node, ['c1'] AS path UNION ALL SELECT r.start, e.dst, list_append(path, e.dst) FROM r JOIN e ON r.node = e.src WHERE len(path) <= 4 AND NOT list_contains(path, e.dst)) SELECT start, node, path FROM r WHERE len(path) > 1")
-def _paths_whole(spark, sf_dir):
+@register("graph_paths", f"WITH RECURSIVE {_W}, r AS (SELECT 'c1' AS start, 'c1' AS node, ['c1'] AS path UNION ALL SELECT r.start, e.dst, list_append(path, e.dst) FROM r JOIN e ON r.node = e.src WHERE len(path) <= 4 AND NOT list_contains(path, e.dst)) SELECT start, node, path FROM r WHERE len(path) > 1")
+def _paths(spark, sf_dir):
     return recursive.simple_paths(_whole_edges(spark, sf_dir), spark.sql("SELECT 'c1' AS s"), 1, 4)
 
 
@@ -142,7 +119,7 @@ def _contains(spark, sf_dir):
     return _places(spark, sf_dir).where(search.contains([(-10.05, 30.05), (40.05, 30.05), (40.05, 60.05), (-10.05, 60.05)], F.col("lng"), F.col("lat"))).select("id")
 
 
-@register("geo_cell_counts", f"SELECT x * 2 ** 0 AS cx, y AS cy, count(*) AS n FROM (SELECT CAST(floor((lng + 180) / 360 * 4) AS BIGINT) AS x, CAST(floor((lat + 90) / 180 * 4) AS BIGINT) AS y FROM ({_PLACES})) GROUP BY 1, 2".replace("x * 2 ** 0", "x"))
+@register("geo_cell_counts", f"SELECT x AS cx, y AS cy, count(*) AS n FROM (SELECT CAST(floor((lng + 180) / 360 * 4) AS BIGINT) AS x, CAST(floor((lat + 90) / 180 * 4) AS BIGINT) AS y FROM ({_PLACES})) GROUP BY 1, 2")
 def _cells(spark, sf_dir):
     cell = search.morton_cell(F.col("lng"), F.col("lat"), 2)
     bit = lambda k: F.shiftright(F.col("cell"), k).bitwiseAND(F.lit(1))
@@ -180,9 +157,6 @@ def _consolidate(spark, sf_dir):
     return incremental.consolidate(_delta(spark, sf_dir))
 
 
-both("mv_filter_project", "SELECT event_id, upper(event_type) AS t FROM events WHERE value > 50 AND user_id IS NOT NULL")
-
-
 @register("mv_group_sum_count", "SELECT event_type, CAST(sum(user_id) AS BIGINT) AS s, count(*) AS n FROM events GROUP BY event_type")
 def _mv(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", "event_type", F.col("user_id").alias("v"))
@@ -190,9 +164,6 @@ def _mv(spark, sf_dir):
     return incremental.view_sum_count(view, e.where("event_id % 2 = 1").withColumn("weight", F.lit(1)), ["event_type"], "v")
 
 
-both("mv_union_distinct", "SELECT user_id FROM events WHERE event_type = 'click' UNION SELECT user_id FROM events WHERE event_type = 'view'")
-
-
 @register("cdc_apply_latest", "SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1 AND event_type <> 'error'")
 def _cdc(spark, sf_dir):
     changes = table(spark, sf_dir, "events").select("user_id", "event_id", "value", "ts", F.when(F.col("event_type") == "error", "delete").otherwise("put").alias("op"))

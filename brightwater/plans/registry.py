@@ -36,4 +36,4 @@ def both(name: str, spark_sql: str, oracle: str | None = None, *tables: str) ->
 
 def load() -> None:
     """Import the modules that register queries."""
-    from . import domain, more, relational, scalar, surface, windowed  # noqa: F401
+    from . import domain, library, more, relational, scalar, surface, windowed  # noqa: F401

@@ -20,7 +20,6 @@ both("rows_moving_avg", f"SELECT o_orderkey, round(avg(o_totalprice) OVER ({_W}
 both("range_frame", "SELECT p_partkey, count(*) OVER (PARTITION BY p_brand ORDER BY p_size RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS n FROM part")
 both("moving_min_max", f"SELECT o_orderkey, min(o_totalprice) OVER ({_W} ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS lo, max(o_totalprice) OVER ({_W} ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS hi FROM orders")
 both("named_windows", "SELECT o_orderkey, count(*) OVER w AS n, min(o_orderkey) OVER w AS m FROM orders WINDOW w AS (PARTITION BY o_custkey)")
-both("window_over_group", "SELECT o_custkey, n, rank() OVER (ORDER BY n DESC) AS r FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey)", "SELECT o_custkey, n, CAST(rank() OVER (ORDER BY n DESC) AS INTEGER) AS r FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey)")
 both("topk_per_group", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) WHERE rn <= 3")
 both("distinct_over_window", "SELECT DISTINCT o_custkey, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders")
 both("group_concat_over", f"SELECT o_orderkey, concat_ws(',', collect_list(o_orderkey) OVER ({_W})) AS s FROM orders", f"SELECT o_orderkey, string_agg(CAST(o_orderkey AS VARCHAR), ',') OVER ({_W}) AS s FROM orders")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -55,3 +56,26 @@ def views(spark: SparkSession, sf_dir: str, *names: str) -> None:
     """Temporary views of the named tables, or of all."""
     for name in names or TABLES:
         table(spark, sf_dir, name).createOrReplaceTempView(name)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A folder that driver and executors share: spark.checkpoint.dir, or one of this machine if the master is local."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    current = context._jsc.sc().getCheckpointDir()
+    if not current.isDefined():
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="brightwater-"))
+        current = context._jsc.sc().getCheckpointDir()
+    return current.get().rstrip("/")
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder in the shared one, removed when the driver ends."""
+    place = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return place

@@ -1,0 +1 @@
+"""Files in and out: CSV, COPY text, tagged documents, dumps."""

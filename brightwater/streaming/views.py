@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch
+
 
 def _available(df: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over what is there now and give its result."""
-    spark = df.sparkSession
-    name = f"view_{uuid.uuid4().hex[:12]}"
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    place = f"{named.rstrip('/')}/{name}" if named else tempfile.mkdtemp(prefix="brightwater-")
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", place).trigger(availableNow=True).start()
+    """Run a stream over what is there now and give its result, written as Parquet in the shared folder.
+
+    In complete mode each batch takes the place of the one before; otherwise batches
+    add up.  A batch that is run again after a failure writes its own folder anew.
+    """
+    spark, place = df.sparkSession, scratch(df.sparkSession, "view")
+
+    def sink(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{place}/out" if mode == "complete" else f"{place}/out/batch={number}")
+
+    query = df.writeStream.foreachBatch(sink).outputMode(mode).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(df.schema).parquet(f"{place}/out").select(*df.columns)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -42,6 +46,5 @@ def sessions(events: DataFrame, time: str, gap: str, key: str) -> DataFrame:
 
 
 def deduplicated(events: DataFrame, time: str, keys: list[str]) -> DataFrame:
-    """The first event of each key."""
-    stamped = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, "30 days")
-    return _available(stamped.dropDuplicatesWithinWatermark(keys).select(*keys), "append")
+    """Each key once, however far apart its events are: the state holds the keys seen."""
+    return _available(events.select(*keys).dropDuplicates(keys), "append")

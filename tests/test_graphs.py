@@ -9,7 +9,7 @@ ITEMS = [(10, 100, 7), (10, 101, 7), (11, 100, 47), (12, 140, 7), (13, 101, 47),
 SUPPLIERS, NATIONS = [(7, 3), (47, 4)], [(3, 0), (4, 1)]
 
 
-def test_graphs_of_whole_keys(spark, tmp_path):
+def test_graphs_of_keys(spark, tmp_path):
     registry.load()
     for name, rows, columns in (("orders", ORDERS, "o_orderkey long, o_custkey long"), ("lineitem", ITEMS, "l_orderkey long, l_partkey long, l_suppkey long"), ("supplier", SUPPLIERS, "s_suppkey long, s_nationkey int"), ("nation", NATIONS, "n_nationkey int, n_regionkey int")):
         spark.createDataFrame(rows, columns).write.parquet(f"{tmp_path}/{name}.parquet")
@@ -19,7 +19,7 @@ def test_graphs_of_whole_keys(spark, tmp_path):
     for a, b in edges:
         after.setdefault(a, set()).add(b)
     run = lambda name: [tuple(r) for r in registry.QUERIES[name](spark, str(tmp_path)).collect()]
-    assert sorted(run("graph_two_hop_whole")) == sorted({(a, c) for a, b in edges for c in after.get(b, ())})
+    assert sorted(run("graph_two_hop")) == sorted({(a, c) for a, b in edges for c in after.get(b, ())})
 
     reach = set()
     for start in {a for a, _ in edges if a[0] == "c"}:
@@ -28,11 +28,11 @@ def test_graphs_of_whole_keys(spark, tmp_path):
             frontier = {b for a in frontier for b in after.get(a, ())} - depth.keys()
             depth |= dict.fromkeys(frontier, d)
         reach |= {(start, n, d) for n, d in depth.items() if d}
-    assert sorted(run("graph_reachable_whole")) == sorted(reach)
+    assert sorted(run("graph_reachable")) == sorted(reach)
 
     paths, rows = [], [("c1",)]
     for _ in range(4):
         rows = [(*p, b) for p in rows for b in after.get(p[-1], ()) if b not in p]
         paths += rows
-    got = run("graph_paths_whole")
+    got = run("graph_paths")
     assert sorted(tuple(p) for *_, p in got) == sorted(paths) and all((s, n) == (p[0], p[-1]) for s, n, p in got)
