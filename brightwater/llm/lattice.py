@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 from .textkernel import mix
@@ -12,6 +14,8 @@ SPACE = 0x2581  # what stands for a space in a piece
 LITERAL = 0x110000 + SPACE
 #: Positions between rescalings; at least the length of the longest piece.
 _BLOCK = 32
+#: Characters from which a word is worked through by itself.
+_LONG = 1024
 
 
 class Vocabulary:
@@ -126,31 +130,70 @@ class Lattice:
         block, so words may be of any length.
         """
         n_words, columns = len(self.lengths), weight.shape[1]
-        nodes = int(self.lengths.sum()) + n_words
-        alpha = np.zeros((nodes, columns))
+        out = np.zeros((n_words, columns))
+        share = np.empty(len(self.piece)) if shares else None
+        for w in np.flatnonzero(self.lengths > _LONG).tolist():
+            out[w] = self._forward_one(w, weight, share)
+        short = np.flatnonzero(self.lengths[self.edge_word] <= _LONG) if n_words and int(self.lengths.max()) > _LONG else slice(None)
+        start, end, piece, word, stop = (x[short] for x in (self.start, self.end, self.piece, self.edge_word, self.stop))
+        steps = np.searchsorted(stop, np.arange(1, (int(stop.max()) if len(stop) else 0) + 2))
+        part_share = np.empty(len(piece)) if shares else None
+        alpha = np.zeros((int(self.lengths.sum()) + n_words, columns))
         root = self.first + np.arange(n_words)
         alpha[root] = 1.0
         log_scale = np.zeros((n_words, columns))
-        share = np.empty(len(self.piece)) if shares else None
-        for j in range(1, len(self.steps)):
-            a, b = self.steps[j - 1], self.steps[j]
+        for j in range(1, len(steps)):
+            a, b = steps[j - 1], steps[j]
             if a == b:
                 break
-            part = alpha[self.start[a:b]] * weight[self.piece[a:b]]
-            end = self.end[a:b]
-            cut = np.flatnonzero(np.concatenate([[True], end[1:] != end[:-1]]))
+            part = alpha[start[a:b]] * weight[piece[a:b]]
+            ends = end[a:b]
+            cut = np.flatnonzero(np.concatenate([[True], ends[1:] != ends[:-1]]))
             total = np.add.reduceat(part, cut, axis=0)
-            alpha[end[cut]] = total
+            alpha[ends[cut]] = total
             if shares:
-                share[a:b] = part[:, 0] / np.repeat(total[:, 0], np.diff(np.append(cut, b - a)))
+                part_share[a:b] = part[:, 0] / np.repeat(total[:, 0], np.diff(np.append(cut, b - a)))
             if j % _BLOCK == 0:
-                words = self.edge_word[a:b][cut]
+                words = word[a:b][cut]
                 tail = root[words][:, None] + j - np.arange(_BLOCK)
                 block = alpha[tail]
                 top = block.max(axis=1)
                 log_scale[words] += np.log(top)
                 alpha[tail] = block / top[:, None, :]
-        return np.log(alpha[root + self.lengths]) + log_scale, share
+        if shares:
+            share[short] = part_share
+        own = np.flatnonzero(self.lengths <= _LONG)
+        out[own] = np.log(alpha[(root + self.lengths)[own]]) + log_scale[own]
+        return out, share
+
+    def _forward_one(self, w: int, weight: np.ndarray, share: np.ndarray | None) -> list[float]:
+        """forward() of one long word, in time linear in it."""
+        own = np.flatnonzero(self.edge_word == w)
+        length = int(self.lengths[w])
+        start = (self.start[own] - (self.first[w] + w)).tolist()
+        bounds = np.searchsorted(self.stop[own], np.arange(1, length + 2)).tolist()
+        out = []
+        for c in range(weight.shape[1]):
+            value = weight[self.piece[own], c].tolist()
+            alpha, scale = [1.0] + [0.0] * length, 0.0
+            shares = [0.0] * len(own)
+            for j in range(1, length + 1):
+                total = 0.0
+                for e in range(bounds[j - 1], bounds[j]):
+                    shares[e] = part = alpha[start[e]] * value[e]
+                    total += part
+                alpha[j] = total
+                if share is not None and not c:
+                    for e in range(bounds[j - 1], bounds[j]):
+                        shares[e] /= total
+                if j % _BLOCK == 0:
+                    top = max(alpha[j - _BLOCK + 1 : j + 1])
+                    scale += math.log(top)
+                    alpha[j - _BLOCK + 1 : j + 1] = [x / top for x in alpha[j - _BLOCK + 1 : j + 1]]
+            if share is not None and not c:
+                share[own] = shares
+            out.append(math.log(alpha[length]) + scale)
+        return out
 
     def expected(self, share: np.ndarray, counts: np.ndarray, n_pieces: int) -> np.ndarray:
         """Expected uses of each piece, words weighted by counts."""

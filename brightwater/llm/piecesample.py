@@ -51,6 +51,8 @@ class Sampler:
 
     #: Edges that are kept; beyond them all are dropped before the next slice.
     LIMIT = 1_000_000
+    #: Segments that go on together; when no more are left, each goes by itself.
+    FEW = 8
 
     def __init__(self, vocabulary, weight: np.ndarray):
         self.vocabulary, self.weight = vocabulary, weight
@@ -94,6 +96,18 @@ class Sampler:
         self.piece = more(self.piece, lattice.piece)
         self.code = more(self.code, lattice.codes[lattice.start_char])
 
+    def _path(self, node: int, root: int, seed: np.uint64, place: int) -> list[int]:
+        """Edges back from a node to its segment's first one, in time linear in the segment."""
+        first, u = self.first[root : node + 1].tolist(), _uniform(np.full(node - root + 1, seed), place + np.arange(node - root + 1)).tolist()
+        ladder, start, path, at = self.ladder, self.start, [], node - root
+        while at > 0:
+            edge, draw = first[at], u[at]
+            while draw >= ladder[edge]:
+                edge += 1
+            path.append(edge)
+            at = int(start[edge]) - root
+        return path
+
     def sample(self, texts: list[str], seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and the bounds of each."""
         from .lattice import LITERAL, SPACE
@@ -117,7 +131,7 @@ class Sampler:
         seed = seeds[doc]
         node, active = root + sizes, np.arange(len(which))
         taken, owner = [], []
-        while len(active):
+        while len(active) > self.FEW:
             here = node[active]
             edge, u = self.first[here], _uniform(seed[active], place[active] + here - root[active])
             higher = np.flatnonzero(u >= self.ladder[edge])
@@ -127,13 +141,20 @@ class Sampler:
             taken.append(edge), owner.append(active)
             node[active] = here = self.start[edge]
             active = active[here > root[active]]
+        # the few that are left may be long: each by itself
+        rest = [(s, self._path(int(node[s]), int(root[s]), seed[s], int(place[s]))) for s in active.tolist()]
         # pieces come last first; each step has one for each segment that is not at its start
         count = np.zeros(len(which), np.int64)
         for own in owner:
             count[own] += 1
+        done = {s: int(count[s]) for s, _ in rest}
+        for s, path in rest:
+            count[s] += len(path)
         end, edges = np.cumsum(count), np.empty(int(count.sum()), np.int64)
         for k, (edge, own) in enumerate(zip(taken, owner, strict=True)):
             edges[end[own] - 1 - k] = edge
+        for s, path in rest:
+            edges[end[s] - 1 - done[s] - np.arange(len(path))] = path
         piece, owners = self.piece[edges], np.repeat(doc, count)
         bytewise = piece == self.vocabulary.size
         ids = np.where(bytewise, 0, self.vocabulary.ids[np.minimum(piece, self.vocabulary.size - 1)])

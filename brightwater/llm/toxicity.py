@@ -10,6 +10,7 @@ someone; a logistic model over the counts gives the score.
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections import Counter
@@ -34,7 +35,15 @@ _ABOUT = frozenset(
 #: Pronouns of address (fixed values).
 _ADDRESS = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch tu te toi vous votre tú ti usted vosotros".split())
 _OPENING, _CLOSING, _PLAIN_QUOTES = "“«„‹", "”»‟›", "\"`"
+_MARKS = re.compile(f"[\n{_OPENING}{_CLOSING}{_PLAIN_QUOTES}]")
 FEATURES = 7
+#: Edits that the longest entries allow.
+MOST = 2
+
+
+def allowed(term: str) -> int:
+    """Edits that a word of the lexicon allows: none below 5 letters, one below 9, then two."""
+    return 0 if len(term) < 5 else 1 if len(term) < 9 else MOST
 
 
 class Lexicon:
@@ -55,7 +64,7 @@ class Lexicon:
             if stem:
                 self.stem_edits[node] = 1 if len(term) >= 7 else 0
             else:
-                self.word_edits[node] = 1 if len(term) >= 5 else 0
+                self.word_edits[node] = allowed(term)
         self._states: dict[frozenset, int] = {}
         self._sets: list[frozenset] = []
         self._step: list[dict[str, int]] = []
@@ -65,10 +74,14 @@ class Lexicon:
 
     def _state(self, places: set[tuple[int, int]]) -> int:
         """The state of these (node, edits), with what dropping characters of an entry adds."""
-        closed = set(places) | {(child, e + 1) for node, e in places if e < 1 for child in self.children[node].values()}
         best: dict[int, int] = {}
-        for node, e in closed:
-            best[node] = min(e, best.get(node, 9))
+        waiting = list(places)
+        while waiting:
+            node, e = waiting.pop()
+            if e < best.get(node, 9):
+                best[node] = e
+                if e < MOST:
+                    waiting += [(child, e + 1) for child in self.children[node].values()]
         key = frozenset(best.items())
         if key not in self._states:
             self._states[key] = len(self._sets)
@@ -84,7 +97,7 @@ class Lexicon:
             child = self.children[node].get(c)
             if child is not None:
                 to.add((child, e))
-            if e < 1:
+            if e < MOST:
                 to.add((node, e + 1))
                 to.update((other, e + 1) for other in self.children[node].values())
         found = self._state(to) if to else -1
@@ -93,7 +106,7 @@ class Lexicon:
         return found
 
     def edits(self, word: str) -> int:
-        """Fewest edits to an entry that matches: 0, 1, or 9 if none does."""
+        """Fewest edits to an entry that matches: 0 to MOST, or 9 if none does."""
         state, stem = self.start, 9
         for c in word:
             step = self._step[state].get(c)
@@ -118,23 +131,45 @@ class _Codes(dict):
         if len(self) >= _CACHE:
             self.clear()
         edits = self.lexicon.edits(word)
-        code = 0 if edits == 9 else 1 + edits
+        code = 0 if edits == 9 else 1 if edits == 0 else 2
         if len(word) <= 64:
             self[word] = code
         return code
 
 
-def _quoted(text: str, start: int, end: int) -> bool:
-    """Whether quotation marks enclose the place, within its line and 120 characters."""
-    before = text[max(0, start - 120) : start].rpartition("\n")[2]
-    after = text[end : end + 120].partition("\n")[0]
-    for mark in _PLAIN_QUOTES:
-        if before.count(mark) % 2 and mark in after:
-            return True
-    for opening, closing in zip(_OPENING, _CLOSING, strict=True):
-        if before.rfind(opening) > before.rfind(closing) and closing in after:
-            return True
-    return False
+def quotations(text: str) -> list[tuple[int, int]]:
+    """Spans between quotation marks that open and close in one line, in order of their ends."""
+    spans, opened = [], {}
+    for found in _MARKS.finditer(text):
+        mark, at = found[0], found.start()
+        if mark == "\n":
+            opened.clear()
+        elif mark in _PLAIN_QUOTES:
+            if mark in opened:
+                spans.append((opened.pop(mark), at))
+            else:
+                opened[mark] = at
+        elif mark in _OPENING:
+            opened[mark] = at
+        else:
+            start = opened.pop(_OPENING[_CLOSING.index(mark)], None)
+            if start is not None:
+                spans.append((start, at))
+    return spans
+
+
+class _Inside:
+    """Whether a place lies in any of some spans."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts, self.reach = [], []
+        for start, end in sorted(spans):
+            self.starts.append(start)
+            self.reach.append(max(end, self.reach[-1] if self.reach else 0))
+
+    def __call__(self, start: int, end: int) -> bool:
+        at = bisect.bisect_left(self.starts, start) - 1
+        return at >= 0 and self.reach[at] >= end
 
 
 def features(text: str, codes: _Codes) -> list[float] | None:
@@ -144,7 +179,7 @@ def features(text: str, codes: _Codes) -> list[float] | None:
     if not any(map(codes.__getitem__, set(words)) if len(words) < 50 else map(codes.__getitem__, words)):
         return None
     spans = list(_WORD.finditer(lowered))
-    same = len(lowered) == len(text)
+    quoted_at = _Inside(quotations(text if len(lowered) == len(text) else lowered))
     exact = fuzzy = quoted = aimed = 0
     for i, word in enumerate(words):
         code = codes[word]
@@ -152,7 +187,7 @@ def features(text: str, codes: _Codes) -> list[float] | None:
             continue
         near = words[max(0, i - 6) : i] + words[i + 1 : i + 7]
         a, b = spans[i].span()
-        if _quoted(text if same else lowered, a, b) or not _ABOUT.isdisjoint(near):
+        if quoted_at(a, b) or not _ABOUT.isdisjoint(near):
             quoted += 1
             continue
         if code == 1:
@@ -173,7 +208,7 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: dict[tuple[str, bool], str] = {}
             last = ""
             for word in _WORD.findall((text or "").lower()):
-                if (word, False) not in seen and len(word) <= 40:
+                if (word, False) not in seen:
                     seen[word, False] = last
                     for n in _STEMS:
                         if len(word) > n:

@@ -178,6 +178,7 @@ def test_toxicity(spark):
     assert all((got[i] >= 0.5) == (i % 3 == 0) for i in range(120)) and got[201] < 0.5 and got[202] == got[203] < 0.5
     lexicon = toxicity.Lexicon([("grobnik", False)])
     assert [lexicon.edits(w) for w in ("grobnik", "gronik", "grobnnik", "grabnik", "grbnk", "alpha")] == [0, 1, 1, 1, 9, 9]
+    assert toxicity.Lexicon([("grobnikant", False)]).edits("grbnkant") == 2
 
 
 def test_licenses(spark):
