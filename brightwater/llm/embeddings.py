@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +39,7 @@ def cross_polytope(x: np.ndarray, tables: int = TABLES, probes: int = PROBES) ->
     and the probes take the pairs of axes that lose the least.
     """
     n, dim = x.shape
-    width = max(4, 1 << (dim - 1).bit_length())
+    width = _width(dim)
     padded = np.zeros((n, width))
     padded[:, :dim] = x
     rng = np.random.Generator(np.random.PCG64(_SEED))
@@ -72,33 +74,49 @@ def matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return lengths, flat, starts
 
 
+def _width(dim: int) -> int:
+    """Axes of the rotated space."""
+    return max(4, 1 << (dim - 1).bit_length())
+
+
+def _code_type(dim: int) -> str:
+    """What holds a code: two signed axes."""
+    return "<u2" if (2 * _width(dim)) ** 2 <= 1 << 16 else "<i4"
+
+
 @lean
 def _coder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Usable vectors: as floats where these hold them exactly, a 128-bit hash, and their codes."""
     for batch in batches:
         lengths, flat, starts = matrix(batch.column(2))
         for dim in np.unique(lengths[lengths > 0]).tolist():
             rows = np.flatnonzero(lengths == dim)
             for k in range(0, len(rows), 2048):
                 part = rows[k : k + 2048]
-                raw = flat[starts[part][:, None] + np.arange(dim)]
-                norm = np.linalg.norm(raw / np.abs(raw).max(axis=1, keepdims=True).clip(1e-300), axis=1)
-                good = norm > 0
-                part, raw = part[good], raw[good]
+                raw = flat[starts[part][:, None] + np.arange(dim)] + 0.0  # no negative zeros
+                largest = np.abs(raw).max(axis=1, keepdims=True)
+                good = largest[:, 0] > 0
+                part, raw, largest = part[good], raw[good], largest[good]
                 if not len(part):
                     continue
-                unit = raw / np.abs(raw).max(axis=1, keepdims=True)
+                unit = raw / largest
                 unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-                codes = cross_polytope(unit).reshape(len(part), -1)
+                codes = cross_polytope(unit).reshape(len(part), -1).astype(np.int32)
+                with np.errstate(over="ignore"):
+                    single = raw.astype("<f4")
+                    exact = (single == raw).all(axis=1)
+                held = [(single[i] if exact[i] else raw[i]).tobytes() for i in range(len(part))]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(pa.array(part)),
                         batch.column(1).take(pa.array(part)),
                         pa.array(np.full(len(part), dim, np.int32)),
-                        pa.array([row.tobytes() for row in raw], pa.binary()),
-                        pa.array([row.astype("<i4").tobytes() for row in codes], pa.binary()),
-                        pa.array(list(codes.astype(np.int32)), pa.list_(pa.int32())),
+                        pa.array([hashlib.blake2b(x, digest_size=16).digest() for x in held], pa.binary()),
+                        pa.array(held, pa.binary()),
+                        pa.array(list(codes), pa.list_(pa.int32())),
+                        pa.array([row.astype(_code_type(dim)).tobytes() for row in codes], pa.binary()),
                     ],
-                    names=["id", "label", "dim", "x", "codes", "code"],
+                    names=["id", "label", "dim", "h", "x", "code", "codes"],
                 )
 
 
@@ -107,47 +125,53 @@ def _verifier(threshold: float):
 
     @lean_group
     def verify(key: tuple, table: pa.Table) -> pa.Table:
-        bucket = table["key"].to_numpy() ^ (table["i"].to_numpy() * 1_000_003 + table["j"].to_numpy() * 7_777_777)
-        order = np.lexsort((table["id"].to_numpy(), bucket))
-        table = table.take(pa.array(order))
-        bucket, ids, place, t = bucket[order], table["id"].to_numpy(), table["p"].to_numpy(), table["t"].to_numpy()
-        role = table["role"].to_numpy()
-        dims = table["dim"].to_numpy()
+        lists = table["places"].combine_chunks()
+        row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
+        places = lists.flatten()
+        bucket, t, i, j, role = (places.field(k).to_numpy(zero_copy_only=False) for k in ("key", "t", "i", "j", "role"))
+        ids, size, dims = (table[c].to_numpy() for c in ("id", "n", "dim"))
+        label = np.unique(np.array(table["label"].to_pylist(), object).astype(str), return_inverse=True)[1]
+        # a bucket is one of label, length and block, whatever its hash
+        which = np.unique(np.stack([bucket, t, i, j, dims[row], label[row]]), axis=1, return_inverse=True)[1].reshape(-1)
+        order = np.lexsort((ids[row], which))
+        which, row, t, role = which[order], row[order], t[order], role[order]
         raw, codes = table["x"].combine_chunks(), table["codes"].combine_chunks()
         counts: dict[int, int] = {}
         links_u, links_v = [], []
-        edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+        edges = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1], [True]]))
         for a, b in zip(edges[:-1], edges[1:], strict=True):
-            base = a + np.flatnonzero(role[a:b] != 1)
-            prober = a + np.flatnonzero(role[a:b] != 0)
+            own, dim = row[a:b], int(dims[row[a]])
+            base, prober = np.flatnonzero(role[a:b] != 1), np.flatnonzero(role[a:b] != 0)
             if not len(base) or not len(prober) or b - a < 2:
                 continue
-            rows = np.arange(a, b)
-            x = np.frombuffer(b"".join(raw[int(r)].as_py() for r in rows), np.float64).reshape(len(rows), dims[a])
-            x = x / np.abs(x).max(axis=1, keepdims=True)
-            x = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
-            cosine = x[base - a] @ x[prober - a].T
-            at, to = np.nonzero(cosine >= threshold)
+            x = np.empty((b - a, dim))
+            for k, r in enumerate(own.tolist()):
+                held = raw[r].as_buffer()
+                x[k] = np.frombuffer(held, "<f4" if held.size == 4 * dim else "<f8")
+            x /= np.abs(x).max(axis=1, keepdims=True)
+            x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+            at, to = np.nonzero(x[base] @ x[prober].T >= threshold)
             at, to = base[at], prober[to]
-            different = ids[at] != ids[to]
+            different = own[at] != own[to]
             at, to = at[different], to[different]
             if not len(at):
                 continue
-            code = np.frombuffer(b"".join(codes[int(r)].as_py() for r in rows), "<i4").reshape(len(rows), TABLES, -1)
-            keep = np.empty(len(at), bool)
+            code = np.stack([np.frombuffer(codes[r].as_buffer(), _code_type(dim)) for r in own.tolist()]).reshape(b - a, TABLES, -1)
+            keep, name = np.empty(len(at), bool), ids[own]
             for k in range(0, len(at), 100_000):
-                x_, y_ = code[at[k : k + 100_000] - a], code[to[k : k + 100_000] - a]
-                found_by_prober = (y_ == x_[:, :, :1]).any(axis=2)
-                found_by_base = (x_ == y_[:, :, :1]).any(axis=2)
+                p, q = at[k : k + 100_000], to[k : k + 100_000]
+                found_by_prober = (code[q] == code[p][:, :, :1]).any(axis=2)
+                found_by_base = (code[p] == code[q][:, :, :1]).any(axis=2)
                 first = (found_by_prober | found_by_base).argmax(axis=1)
                 now = int(t[a])
                 # counted once: in the first table that finds the pair, with the smaller id as prober if it finds the other
-                turn = (ids[to[k : k + 100_000]] < ids[at[k : k + 100_000]]) | ~found_by_base[:, now]
-                keep[k : k + 100_000] = (first == now) & turn
+                keep[k : k + 100_000] = (first == now) & ((name[q] < name[p]) | ~found_by_base[:, now])
             at, to = at[keep], to[keep]
-            for one, n in zip(*np.unique(np.concatenate([ids[at], ids[to]]), return_counts=True), strict=True):
-                counts[int(one)] = counts.get(int(one), 0) + int(n)
-            links_u.append(np.maximum(ids[at], ids[to])), links_v.append(np.minimum(ids[at], ids[to]))
+            both, partner = np.concatenate([own[at], own[to]]), np.concatenate([own[to], own[at]])
+            total = np.bincount(both, weights=size[partner], minlength=0).astype(np.int64)
+            for r in np.flatnonzero(total).tolist():
+                counts[int(ids[r])] = counts.get(int(ids[r]), 0) + int(total[r])
+            links_u.append(np.maximum(name[at], name[to])), links_v.append(np.minimum(name[at], name[to]))
         u = np.concatenate(links_u) if links_u else np.empty(0, np.int64)
         v = np.concatenate(links_v) if links_v else np.empty(0, np.int64)
         u, v = forest(u, v)
@@ -173,8 +197,10 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     A pair is held against the threshold if one of the two probes the other's bucket
     in some table; at a cosine of 0.93 in 64 dimensions all eight tables miss a pair
     with a chance of 4e-6.  A pair found by several tables counts in the first.
-    Buckets are compared by blocks of at most BLOCK rows; what leaves a block is a
-    count per vector and a spanning forest, never its pairs.
+    Equal vectors of a label (by a 128-bit hash) are one class and are compared as
+    one; each of them links with the others.  Buckets are compared by blocks of at
+    most BLOCK rows; what leaves a block is a count per vector and a spanning
+    forest, never its pairs.
 
     Vectors that are null, empty or zero, or hold null or non-finite components, and
     those without a label or an id, are linked with nothing; a null id has a null
@@ -188,25 +214,35 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     source = vectors.select(F.col(id_col).cast("long").alias("id"), (F.col(label_col) if label_col else F.lit(0)).alias("label"), F.col(vector_col).cast("array<double>").alias("e"))
     usable = source.where("id is not null and label is not null and e is not null")
     one = usable.groupBy("id").agg(F.min_by(F.struct("label", "e"), F.xxhash64("label", "e")).alias("s")).select("id", F.col("s.label").cast("string").alias("label"), "s.e")
-    coded = scratch.put("coded", one.mapInArrow(_coder, "id long, label string, dim int, x binary, codes binary, code array<int>"))
-    rows = coded.select("id", "label", "dim", F.posexplode("code").alias("at", "c")).select(
-        "id", F.expr(f"at div {PROBES}").cast("int").alias("t"), (F.col("at") % PROBES).alias("p"), F.xxhash64("label", "dim", F.expr(f"at div {PROBES}"), "c").alias("key")
+    coded = scratch.put("coded", one.mapInArrow(_coder, "id long, label string, dim int, h binary, x binary, code array<int>, codes binary"))
+    # equal vectors of a label are one class, which goes by its smallest id
+    same = ["label", "dim", "h"]
+    reps = scratch.put("reps", coded.groupBy(*same).agg(F.min_by(F.struct("id", "x", "code", "codes"), "id").alias("r"), F.count("*").alias("n")).select(*same, "n", "r.*"))
+    classes = scratch.put("classes", coded.select("id", *same).join(reps.select(*same, "n", F.col("id").alias("rep")), same).select("id", "rep", "n"))
+    scratch.drop("coded")
+    rows = reps.select("id", "label", "dim", F.posexplode("code").alias("at", "c")).select(
+        "id", F.expr(f"at div {PROBES}").cast("int").alias("t"), (F.col("at") % PROBES).alias("p"), F.expr("c div (2 * greatest(4, shiftleft(1, CAST(ceil(log2(dim)) AS INT))))").alias("axis"), F.xxhash64("label", "dim", F.expr(f"at div {PROBES}"), "c").alias("key")
     )
     blocks = rows.groupBy("key").agg(F.count("*").alias("m"), F.max((F.col("p") == 0).cast("int")).alias("b")).where("m > 1 and b = 1").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb"))
     live = rows.join(blocks, "key")
-    # roles: 0 base, 1 prober; in a bucket of several blocks each row meets all blocks of the other role
+    # roles: 0 base, 1 prober, 2 both; in a bucket of several blocks each row meets all blocks of the other role
     own = F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")
     every = F.sequence(F.lit(0), F.col("nb") - 1)
-    single = live.where("nb = 1").select("key", "id", "t", "p", F.lit(0).alias("i"), F.lit(0).alias("j"), F.when(F.col("p") == 0, 2).otherwise(1).alias("role"))
+    single = live.where("nb = 1").select("key", "id", "t", "axis", F.lit(0).alias("i"), F.lit(0).alias("j"), F.when(F.col("p") == 0, 2).otherwise(1).alias("role"))
     many = live.where("nb > 1")
-    bases = many.where("p = 0").withColumn("i", own).select("key", "id", "t", "p", "i", F.explode(every).alias("j"), F.lit(0).alias("role"))
-    probers = many.withColumn("j", own).select("key", "id", "t", "p", F.explode(every).alias("i"), "j", F.lit(1).alias("role")).select(*bases.columns)
+    bases = many.where("p = 0").withColumn("i", own).select("key", "id", "t", "axis", "i", F.explode(every).alias("j"), F.lit(0).alias("role"))
+    probers = many.withColumn("j", own).select("key", "id", "t", "axis", F.explode(every).alias("i"), "j", F.lit(1).alias("role")).select(*bases.columns)
     placed = scratch.put("placed", single.select(*bases.columns).unionAll(bases).unionAll(probers))
     groups = max(1, round(placed.count() / 20_000))
-    dealt = placed.join(coded.select("id", "dim", "x", "codes"), "id").withColumn("g", F.pmod(F.xxhash64("key", "i", "j"), F.lit(groups)))
+    # buckets that share a table and its first axis go together, so that a vector is sent once for them
+    group = F.pmod(F.xxhash64("t", "axis", "i", "j"), F.lit(groups))
+    together = placed.repartition("id").groupBy("id", group.alias("g")).agg(F.collect_list(F.struct("key", "t", "i", "j", "role")).alias("places"))
+    dealt = together.join(reps.select("id", "label", "dim", "n", "x", "codes"), "id")
     found = scratch.put("found", dealt.groupBy("g").applyInArrow(_verifier(threshold), "u long, v long, n long"))
-    counts = found.where("v is null").groupBy(F.col("u").alias("id")).agg(F.sum("n").alias("n"))
+    counts = found.where("v is null").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("links"))
     parts = connected_components(found.where("v is not null").select("u", "v"), scratch)
-    out = source.select("id").join(counts, "id", "left").join(parts.withColumnRenamed("node", "id"), "id", "left")
+    linked = classes.join(counts, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
+    linked = linked.select("id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
+    out = source.select("id").join(linked, "id", "left")
     component = F.coalesce("component", "id")
-    return out.select(F.col("id").cast(kind).alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.cast(kind).alias("component_id"), (F.col("id").isNull() | (component == F.col("id"))).alias("kept"))
+    return out.select(F.col("id").cast(kind).alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.cast(kind).alias("component_id"), (F.col("id").isNull() | (component == F.col("id"))).alias("kept"))
