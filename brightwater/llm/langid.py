@@ -25,6 +25,8 @@ from .textkernel import lean, slices, trim
 
 _WORD = re.compile(r"[^\W\d_]+")
 _CACHE = 100_000
+#: Words whose lattices are worked through together.
+_AT_ONCE = 4000
 UNKNOWN = "und"
 
 
@@ -109,7 +111,9 @@ class _Scores(dict):
         return self.pieces.lattice(*word_codes([" " + w for w in words])).forward(self.weight)[0]
 
 
-def _predictor(shared, margin: bool):
+def _predictor(shared, margin: bool, shown: list[int]):
+    """shown: which input columns go on."""
+
     @lean
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -129,8 +133,8 @@ def _predictor(shared, margin: bool):
                     # a slice with more distinct words than the cache holds gets a table of its own
                     table = scores.table if len(scores) + len(fresh) <= _CACHE else np.empty((len(fresh), scores.width))
                     at = len(scores)
-                    for k in range(0, len(fresh), 10_000):
-                        part = fresh[k : k + 10_000]
+                    for k in range(0, len(fresh), _AT_ONCE):
+                        part = fresh[k : k + _AT_ONCE]
                         table[at + k : at + k + len(part)] = scores.learn(part)
                     scores.update(zip(fresh, range(at, at + len(fresh)), strict=True))
                     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -149,7 +153,7 @@ def _predictor(shared, margin: bool):
                     pred[none], best[none] = len(model.langs), 0.0
                     if table is not scores.table:
                         scores.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(names[pred], pa.string()), pa.array(best), pa.array(above), *(c.slice(a, b - a) for c in [batch.column(0), *batch.columns[2:]])], names=["lang_pred", "score", "margin", "id", *batch.schema.names[2:]])
+                yield pa.RecordBatch.from_arrays([pa.array(names[pred], pa.string()), pa.array(best), pa.array(above), *(batch.column(k).slice(a, b - a) for k in [0, *shown])], names=["lang_pred", "score", "margin", "id", *[f"_k{i}" for i in range(len(shown))]])
 
     return predict
 
@@ -170,12 +174,13 @@ def identify(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_co
     ship(spark)
     shared = spark.sparkContext.broadcast(model)  # vocabulary size x languages
     kind = dict(docs.dtypes)[id_col]
-    # numbered names inside, so that no column of the input can clash
-    held = [F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)]
+    # numbered names inside, so that no column of the input can clash; the text goes to Python once, also where it is kept
+    held = [F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep) if c != text_col]
+    shown = [1 if c == text_col else 2 + sum(x != text_col for x in keep[:i]) for i, c in enumerate(keep)]
     shape = T.StructType.fromDDL(f"lang_pred string, score double, margin double, id {kind}")
     for i, c in enumerate(keep):
         shape = shape.add(f"_k{i}", docs.schema[c].dataType)
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *held).mapInArrow(_predictor(shared, margin), shape)
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *held).mapInArrow(_predictor(shared, margin, shown), shape)
     return out.select(F.col("id").alias(id_col), "lang_pred", "score", *(["margin"] if margin else []), *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)])
 
 

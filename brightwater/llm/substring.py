@@ -411,16 +411,20 @@ class FingerprintIndex:
         return every.select("id", "th", F.explode("starts").alias("s")).groupBy("id", "th").agg(F.collect_set("s").alias("starts"))
 
 
-def _batched(source: DataFrame, batches: Batches) -> Column:
-    layout = source.sparkSession.sparkContext.broadcast(batches)  # a few numbers a batch
+def _batched(layout: Batches) -> Column:
+    """A row's batch: its segment by two short searches, then its place in the segment."""
 
-    @F.pandas_udf("long")
-    def batch(ids, texts):
-        import pandas as pd
+    def constant(values: list, kind: str) -> Column:
+        return F.from_json(F.lit(str(values)), kind)
 
-        return pd.Series(layout.value.of(ids.to_numpy(), texts.to_numpy()))
-
-    return batch("id", "th")
+    starts = layout.starts.tolist()
+    width = math.ceil(math.sqrt(len(starts)))
+    chunks = [starts[k : k + width] for k in range(0, len(starts), width)]
+    upto = lambda array: F.size(F.filter(array, lambda s: s <= F.col("id"))) - 1
+    chunk = upto(constant([c[0] for c in chunks], "array<bigint>"))
+    segment = chunk * width + upto(F.get(constant(chunks, "array<array<bigint>>"), chunk))
+    dealt = F.get(constant(layout.dealt.tolist(), "array<bigint>"), segment)
+    return F.get(constant(layout.first.tolist(), "array<bigint>"), segment) + F.pmod("th", dealt)
 
 
 def batch_size(total: int, least: int) -> int:
@@ -457,7 +461,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = max(generations, math.ceil(size / batch_size(size, batch_bytes)))
     some = source.sample(min(1.0, SAMPLE * wanted / max(1, whole["n"])), 1).select("id", F.octet_length("text").alias("b")).toPandas()
     layout = Batches(some["id"].to_numpy(np.int64), some["b"].to_numpy(np.int64), wanted)
-    batched = source.withColumn("batch", _batched(source, layout))
+    batched = source.withColumn("batch", _batched(layout))
     # a word takes six bytes or so; a bucket gets the windows of all generations
     index = FingerprintIndex(spark, window, max(3, math.ceil(math.log2(max(1, size / 6 / bucket_windows)))), fingerprint_bits)
     cuts = [layout.count * g // generations for g in range(generations + 1)]

@@ -124,6 +124,6 @@ def test_packing(spark, docs, rows):
 def test_run(spark, tmp_path):
     rng = np.random.default_rng(2)
     rows = [(k, text(rng, ENGLISH, 100), None if k == 3 else "en", "s", 0) for k in range(20)]
-    rows += [(30, rows[0][1], "en", "s", 0), (31, "q9x7 zqxj 0xb64b244acde2e3b0aa8f051af1ec018ebaba3add " * 3, "en", "s", 0)]
+    rows += [(30, rows[0][1], "en", "s", 0), (31, "q9x7 zqxj 0xb64b244acde2e3b0aa8f051af1ec018ebaba3add " * 3, None, "s", 0)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(range(20))
