@@ -58,8 +58,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     model = langid.fit(held, F.lit(True), TOKENIZER("piece_bpe_32k.model"))
     if not model.langs:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    found = langid.identify(held.withColumn("_text", F.col("text")), model, keep=("_text", "_rest"), margin=True)
-    found = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("margin") > -NO_LANGUAGE)).withColumnRenamed("_text", "text")
+    found = langid.identify(held, model, keep=("text", "_rest"), margin=True)
+    found = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("margin") > -NO_LANGUAGE))
     return _like(docs, found, lang=F.col("lang_pred"))
 
 
