@@ -60,7 +60,7 @@ def corpus(seed, n=160):
     return rows + [(3, None), (4, ""), (5, " \n"), (101, " ".join(f"w{x}" for x in rng.integers(0, 3, 20_000)))]
 
 
-@pytest.mark.parametrize(("seed", "bits", "generations"), [(1, 64, 4), (2, 64, 1), (3, 9, 5)])
+@pytest.mark.parametrize(("seed", "bits", "generations"), [(1, 64, 4), (3, 9, 5)])
 def test_brute_force(spark, seed, bits, generations):
     """With nine bits nearly every window shares its fingerprint with others."""
     rows = corpus(seed)
