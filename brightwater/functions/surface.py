@@ -10,6 +10,23 @@ from pyspark.sql import SparkSession
 
 from . import udfs
 
+#: Codes of the letters A to Z in refined Soundex (fixed values).
+REFINED = "01360240043788015936020505"
+#: Steps of Caverphone 2, in order (fixed values).
+CAVERPHONE = (
+    ("[^a-z]", ""), ("e$", ""), ("^cough", "cou2f"), ("^rough", "rou2f"), ("^tough", "tou2f"), ("^enough", "enou2f"), ("^trough", "trou2f"), ("^gn", "2n"), ("mb$", "m2"), ("cq", "2q"), ("ci", "si"), ("ce", "se"), ("cy", "sy"), ("tch", "2ch"),
+    ("[cqx]", "k"), ("v", "f"), ("dg", "2g"), ("tio", "sio"), ("tia", "sia"), ("d", "t"), ("ph", "fh"), ("b", "p"), ("sh", "s2"), ("z", "s"), ("^[aeiou]", "A"), ("[aeiou]", "3"), ("j", "y"), ("^y3", "Y3"), ("^y", "A"), ("y", "3"), ("3gh3", "3kh3"),
+    ("gh", "22"), ("g", "k"), ("s+", "S"), ("t+", "T"), ("p+", "P"), ("k+", "K"), ("f+", "F"), ("m+", "M"), ("n+", "N"), ("w3", "W3"), ("wh3", "Wh3"), ("w$", "3"), ("w", "2"), ("^h", "A"), ("h", "2"), ("r3", "R3"), ("r$", "3"), ("r", "2"),
+    ("l3", "L3"), ("l$", "3"), ("l", "2"), ("2", ""), ("3$", "A"), ("3", ""),
+)
+
+
+def _steps(x: str, steps: tuple[tuple[str, str], ...]) -> str:
+    for pattern, replacement in steps:
+        x = f"regexp_replace({x}, '{pattern}', '{replacement}')"
+    return x
+
+
 #: name -> (parameters, type, body)
 SQL_FUNCTIONS: dict[str, tuple[str, str, str]] = {
     # text
@@ -19,6 +36,12 @@ SQL_FUNCTIONS: dict[str, tuple[str, str, str]] = {
     "unhex_ignoring": ("x STRING, ignored STRING", "BINARY", "unhex(translate(x, ignored, ''))"),
     "substr0": ("x STRING, start INT, n INT", "STRING", "CASE WHEN start = 0 THEN substr(x, 1, greatest(n - 1, 0)) WHEN start < 0 AND -start > length(x) THEN substr(x, 1, greatest(n + length(x) + start, 0)) ELSE substr(x, start, n) END"),
     "soundex_of": ("x STRING", "STRING", "if(x RLIKE '[A-Za-z]', soundex(regexp_replace(x, '[^A-Za-z]', '')), '?000')"),
+    "refined_soundex": (
+        "x STRING",
+        "STRING",
+        f"if(x RLIKE '[A-Za-z]', concat(upper(substr(regexp_replace(x, '[^A-Za-z]', ''), 1, 1)), regexp_replace(translate(upper(regexp_replace(x, '[^A-Za-z]', '')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '{REFINED}'), '(.)\\\\1+', '$1')), '')",
+    ),
+    "caverphone": ("x STRING", "STRING", f"if(x = '', '', rpad({_steps('lower(x)', CAVERPHONE)}, 10, '1'))"),
     "zeroblob": ("n INT", "BINARY", "unhex(repeat('00', greatest(n, 0)))"),
     "get_byte": ("b BINARY, i INT", "INT", "CAST(conv(hex(substr(b, i + 1, 1)), 16, 10) AS INT)"),
     "set_byte": ("b BINARY, i INT, v INT", "BINARY", "concat(substr(b, 1, i), unhex(lpad(hex(v & 255), 2, '0')), substr(b, i + 2))"),

@@ -18,19 +18,31 @@ def groups_frame(df: DataFrame, partition: list[str], order: list[str], start: i
     return numbered.withColumns({name: make(w) for name, make in values.items()}).drop("_g")
 
 
-def exclude(df: DataFrame, partition: list[str], order: str, value: str, name: str, kind: str, start: int, end: int) -> DataFrame:
-    """sum(value) over RANGE BETWEEN start AND end of `order`, EXCLUDE current, group or ties.
+def exclude(df: DataFrame, partition: list[str], order: str, value: str, name: str, kind: str, start: int, end: int, aggregate: str = "sum") -> DataFrame:
+    """sum, count, avg, min or max of value over RANGE BETWEEN start AND end of `order`, EXCLUDE current, group, ties or no others.
 
-    What is excluded is subtracted; where nothing is left the sum is null.  The
-    frame must hold the current row's peers (start <= 0 <= end).
+    Sums and counts have what is excluded subtracted; where nothing is left a sum is
+    null.  min and max exclude groups of peers, as the better of the frames before
+    and after them; `order` is whole numbers there.  The frame must hold the current
+    row's peers (start <= 0 <= end).
     """
-    frame = Window.partitionBy(*partition).orderBy(order).rangeBetween(start, end)
-    peers = Window.partitionBy(*partition).orderBy(order).rangeBetween(0, 0)
+    window = Window.partitionBy(*partition).orderBy(order)
+    frame = window.rangeBetween(start, end)
+    if aggregate in ("min", "max"):
+        best, pick = (F.min, F.least) if aggregate == "min" else (F.max, F.greatest)
+        if kind == "no others":
+            return df.withColumn(name, best(value).over(frame))
+        if kind != "group":
+            raise ValueError("min and max exclude groups only")
+        sides = [best(value).over(window.rangeBetween(a, b)) for a, b in ((start, -1), (1, end)) if a <= b]
+        return df.withColumn(name, pick(*sides) if len(sides) > 1 else sides[0] if sides else F.lit(None).cast(dict(df.dtypes)[value]))
+    peers = window.rangeBetween(0, 0)
     own, own_n = F.coalesce(F.col(value), F.lit(0)), F.col(value).isNotNull().cast("long")
     group, group_n = F.coalesce(F.sum(value).over(peers), F.lit(0)), F.count(value).over(peers)
-    out, out_n = {"current": (own, own_n), "group": (group, group_n), "ties": (group - own, group_n - own_n)}[kind]
-    left = F.count(value).over(frame) - out_n
-    return df.withColumn(name, F.when(left > 0, F.sum(value).over(frame) - out))
+    out, out_n = {"current": (own, own_n), "group": (group, group_n), "ties": (group - own, group_n - own_n), "no others": (F.lit(0), F.lit(0))}[kind]
+    left, total = F.count(value).over(frame) - out_n, F.sum(value).over(frame) - out
+    result = {"count": left, "sum": F.when(left > 0, total), "avg": F.when(left > 0, total / left)}[aggregate]
+    return df.withColumn(name, result)
 
 
 def filter_over(aggregate: Callable[[Column], Column], value: Column, condition: Column) -> Column:

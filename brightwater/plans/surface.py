@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dialect as D
+from ..functions.surface import CAVERPHONE, REFINED
 from ..functions.surface import register as make
 from ..session import table, views
 from .registry import register
@@ -33,6 +34,15 @@ called(
     f AS (SELECT p_partkey, h, list_filter(l, lambda x, i: x <> '0' AND (i = 1 OR x <> l[i - 1])) AS k, l[1] <> '0' AND h NOT IN ('H', 'W') AS own FROM d)
     SELECT p_partkey, CASE WHEN h = '' THEN '?000' ELSE h || left(array_to_string(CASE WHEN own THEN k[2:] ELSE k END, '') || '000', 3) END AS s, '?000' AS e FROM f""",
 )
+_CAVER = "lower(w)"
+for _pattern, _replacement in CAVERPHONE:
+    _CAVER = f"regexp_replace({_CAVER}, '{_pattern}', '{_replacement}', 'g')"
+called(
+    "fn_phonetic",
+    ("refined_soundex", "caverphone"),
+    "SELECT p_partkey, refined_soundex(p_type) AS r, caverphone(p_type) AS c, refined_soundex('phonetics') AS a, caverphone('awesome') AS b FROM part",
+    f"WITH c AS (SELECT p_partkey, p_type AS w, regexp_replace(upper(p_type), '[^A-Z]', '', 'g') AS u FROM part), l AS (SELECT *, string_split(translate(u, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '{REFINED}'), '') AS l FROM c) SELECT p_partkey, u[1:1] || array_to_string(list_filter(l, lambda x, i: i = 1 OR x <> l[i - 1]), '') AS r, rpad({_CAVER}, 10, '1') AS c, 'P1080603' AS a, 'AWSM111111' AS b FROM l",
+)
 called("fn_bytes", ("zeroblob", "get_byte", "set_byte"), "SELECT n_nationkey, octet_length(zeroblob(n_nationkey)) AS z, get_byte(CAST(n_name AS BINARY), 1) AS g, CAST(set_byte(CAST(n_name AS BINARY), 0, 66 + n_nationkey % 20) AS STRING) AS s FROM nation", "SELECT n_nationkey, n_nationkey AS z, ascii(substr(n_name, 2, 1)) AS g, chr(66 + n_nationkey % 20) || substr(n_name, 2) AS s FROM nation")
 called("fn_quote", ("quote_text",), "SELECT p_partkey, quote_text(concat(p_name, '''s')) AS q, quote_text(NULL) AS n FROM part", "SELECT p_partkey, '''' || replace(p_name || '''s', '''', '''''') || '''' AS q, 'NULL' AS n FROM part")
 called("fn_like_regexp", ("like_match", "regexp_capture"), "SELECT p_partkey, like_match('brand#1%', p_brand) AS l, regexp_like(p_brand, '#[13]') AS r, regexp_substr(p_brand, '[0-9]+') AS s, regexp_capture(p_brand, '(B)rand#(.)', 2) AS c FROM part", "SELECT p_partkey, p_brand ILIKE 'brand#1%' AS l, regexp_matches(p_brand, '#[13]') AS r, regexp_extract(p_brand, '[0-9]+') AS s, regexp_extract(p_brand, '(B)rand#(.)', 2) AS c FROM part")

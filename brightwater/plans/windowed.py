@@ -43,6 +43,17 @@ _excluded("group", "GROUP")
 _excluded("ties", "TIES")
 
 
+_FRAME = "(PARTITION BY p_brand ORDER BY p_size RANGE BETWEEN 3 PRECEDING AND 2 FOLLOWING EXCLUDE GROUP)"
+
+
+@register("exclude_aggregates", f"SELECT p_partkey, count(p_size) OVER {_FRAME} AS n, round(avg(p_size) OVER {_FRAME}, 6) AS a, min(p_partkey) OVER {_FRAME} AS lo, max(p_partkey) OVER {_FRAME} AS hi FROM part")
+def _exclude_aggregates(spark, sf_dir):
+    out = table(spark, sf_dir, "part")
+    for value, name, aggregate in (("p_size", "n", "count"), ("p_size", "a", "avg"), ("p_partkey", "lo", "min"), ("p_partkey", "hi", "max")):
+        out = exclude(out, ["p_brand"], "p_size", value, name, "group", -3, 2, aggregate)
+    return out.select("p_partkey", "n", F.round("a", 6).alias("a"), "lo", "hi")
+
+
 @register("filter_over", f"SELECT o_orderkey, count(*) FILTER (WHERE o_orderstatus = 'O') OVER ({_W}) AS n FROM orders")
 def _filter_over(spark, sf_dir):
     from pyspark.sql import Window

@@ -16,6 +16,8 @@ from brightwater.sources import files
 def test_surface(spark):
     brightwater.register(spark)
     row = spark.sql("SELECT soundex_of('') AS s, substr0('abc', 0, 2) AS z, char_of(array(72, 128512)) AS c, array_at(array(5L, 6L), 1) AS a, json_type_of('{\"a\":[1]}', '$.a') AS t, json_quote_text('a\"') AS q, ip4_text(ip4_number('10.1.2.3')) AS ip").first()
+    codes = spark.sql("SELECT refined_soundex('is') AS r, caverphone('phonetics') AS c, caverphone('is') AS d, refined_soundex('') AS e").first()
+    assert tuple(codes) == ("I03", "FNTKS11111", "AS11111111", "")
     assert tuple(row) == ("?000", "a", "H😀", 6, "array", '"a\\""', "10.1.2.3")
     assert len(SQL_FUNCTIONS) > 60
     rows = spark.sql("SELECT t.* FROM (SELECT '{\"a\":{\"b c\":[1,null]}}' AS j), LATERAL json_tree(j, '$.a') t").collect()
