@@ -26,6 +26,8 @@ from .textkernel import lean, slices
 
 _WORD = re.compile(r"\w+")
 _CACHE = 300_000
+#: States of the automaton that are kept.
+_STATES = 30_000
 _STEMS = (4, 5, 6, 7, 8)
 #: Words that speak of a word, or report speech, in the languages of the tables (fixed values).
 _ABOUT = frozenset(
@@ -65,6 +67,10 @@ class Lexicon:
                 self.stem_edits[node] = 1 if len(term) >= 7 else 0
             else:
                 self.word_edits[node] = allowed(term)
+        self._forget()
+
+    def _forget(self) -> None:
+        """Begin the automaton anew."""
         self._states: dict[frozenset, int] = {}
         self._sets: list[frozenset] = []
         self._step: list[dict[str, int]] = []
@@ -107,6 +113,8 @@ class Lexicon:
 
     def edits(self, word: str) -> int:
         """Fewest edits to an entry that matches: 0 to MOST, or 9 if none does."""
+        if len(self._sets) > _STATES:
+            self._forget()
         state, stem = self.start, 9
         for c in word:
             step = self._step[state].get(c)
