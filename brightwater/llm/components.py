@@ -50,18 +50,18 @@ def _local_stars(whole: bool):
     return stars
 
 
-def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc", max_rounds: int = 60, local: int | None = None) -> DataFrame:
     """(node, component): the smallest node reachable, for nodes that have edges.
 
     Alternating large-star and small-star rounds on (u, v) with u > v.  A node's
     neighbours are never gathered: rounds are minima (combined before the
     shuffle) and equi-joins that adaptive execution may split where a hub is
     hot.  The edge list is staged after each round, so a lost executor costs one
-    round at most.  Edges that are few enough (LOCAL) one task finishes.
+    round at most.  Edges that are few enough (`local`, or LOCAL) one task finishes.
     """
     pairs = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v")
     current = scratch.put(f"{name}-0", pairs.mapInArrow(_local_stars(False), "u long, v long").distinct())
-    if current.count() <= LOCAL:
+    if current.count() <= (LOCAL if local is None else local):
         return _with_roots(scratch.put(f"{name}-1", current.repartition(1).mapInArrow(_local_stars(True), "u long, v long")))
     before = None
     for k in range(1, max_rounds + 1):

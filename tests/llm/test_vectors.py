@@ -54,3 +54,21 @@ def test_recall_at_the_threshold():
     x, y = cross_polytope(a), cross_polytope(b)
     found = ((x == y[:, :, :1]) | (y == x[:, :, :1])).any(axis=(1, 2))
     assert found.sum() >= n - 2
+
+
+def test_vectors_stay_few_on_the_way(spark, monkeypatch):
+    """No staged table has many rows for a vector (the driver and the disk follow the input); small blocks and several searches give the same."""
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(500, 32))
+    rows = [(i, [float(x) for x in (centres[i % 500] + rng.normal(size=32) * 0.2).astype(np.float32)], 1) for i in range(700)]
+    rows += [(1000 + i, [float(x) for x in (centres[0] + rng.normal(size=32) * 0.15).astype(np.float32)], 1) for i in range(40)]
+    want = brute(rows, 0.93)
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    staged, put = {}, embeddings.Scratch.put
+    monkeypatch.setattr(embeddings.Scratch, "put", lambda self, name, df, *a: (out := put(self, name, df, *a), staged.update({name: out.count()}))[0])
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_vectors(table).collect()} == want
+    assert staged and max(staged.values()) <= 4 * len(rows)
+    monkeypatch.setattr(embeddings, "BLOCK", 8)
+    monkeypatch.setattr(embeddings, "AT_ONCE", 100, raising=False)
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_vectors(table).collect()} == want
+    assert near_vectors(table.limit(0)).collect() == []
