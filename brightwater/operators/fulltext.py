@@ -105,10 +105,17 @@ def matches(tokens: Column, query: str) -> Column:
     return test(parse(query))
 
 
-def highlight(text: Column, terms: list[str], before: str = "<b>", after: str = "</b>") -> Column:
+def whole(words: str, ascii_only: bool = False) -> str:
+    """A pattern of whole words in any case; ascii_only: as RE2 takes (?i) and \\b, where any character but [A-Za-z0-9_] ends a word."""
+    if ascii_only:
+        folded = re.sub("[sk]", lambda m: {"s": "[s\u017f]", "k": "[k\u212a]"}[m[0]], words.lower())  # the long s and the Kelvin sign
+        return rf"(?i)(?<![A-Za-z0-9_])({folded})(?![A-Za-z0-9_])"
+    return rf"(?iu)(?<![\p{{L}}\p{{N}}])({words})(?![\p{{L}}\p{{N}}])"
+
+
+def highlight(text: Column, terms: list[str], before: str = "<b>", after: str = "</b>", ascii_only: bool = False) -> Column:
     """The text with each whole word that is one of the terms between two marks."""
-    words = "|".join(re.escape(t) for t in terms)
-    return F.regexp_replace(text, rf"(?iu)(?<![\p{{L}}\p{{N}}])({words})(?![\p{{L}}\p{{N}}])", f"{before}$1{after}")
+    return F.regexp_replace(text, whole("|".join(re.escape(t) for t in terms), ascii_only), f"{before}$1{after}")
 
 
 class Postings:

@@ -10,6 +10,7 @@ from brightwater.functions import dialect as D
 from brightwater.functions import udfs as U
 from brightwater.functions.surface import SQL_FUNCTIONS
 from brightwater.operators import aggregates, fulltext, incremental, recursive, tables
+from brightwater.plans import registry
 from brightwater.sources import files
 
 
@@ -81,6 +82,16 @@ def test_grammar(spark):
             fulltext.parse(bad)
 
 
+def test_highlight_ends_words_like_its_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    texts = ["the MIT License, mit\u00fcber", "\u00e9mit license", "mit licen\u017fe_ mit Licen\u017fe\u00df", "m\u0131t license", "x_mit license", "mit license_", "MIT  license", "2mit license"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    registry.load()
+    sql = registry.ORACLE_SQL["fts_highlight"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = [tuple(r) for r in registry.QUERIES["fts_highlight"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(duckdb.connect().sql(sql).fetchall()) and (1, "\u00e9<b>mit</b> <b>license</b>") in got
+
+
 def test_aggregate_and_graph(spark):
     df = spark.createDataFrame([("a", 1), ("a", 5), ("b", 2)], "k string, v int").repartition(3)
     out = aggregates.user_aggregate(df, ["k"], "v", "m", "int", lambda: 0, max, max, lambda s: s)
