@@ -119,3 +119,20 @@ def test_capture(spark):
     assert sorted(r.change_type for r in incremental.capture(a, b, "k", "t", "id", 2).collect()) == [-1, 0, 1, 2]
     with pytest.raises(ValueError):
         incremental.capture(a, b, "k", "t", "some")
+
+
+def test_percentile_without_a_map_of_all(spark):
+    rows = spark.range(5001).select(F.when(F.col("id") % 7 > 0, (F.col("id") * 7919 % 3001).cast("double")).alias("x"))
+    for p in (0.0, 0.3333, 0.5, 1.0):
+        for df in (rows, rows.limit(2), rows.where("x = 4"), rows.where("x < 0")):
+            found = aggregates.exact_percentile(df, "x", p)
+            assert found.first()[0] == df.agg(F.percentile("x", p)).first()[0]
+
+
+def test_approx_aggregates_keep_no_sketch_a_key(spark, tmp_path):
+    spark.range(100).selectExpr("id AS o_orderkey", "id % 40 AS o_custkey", "CAST(id AS DOUBLE) + 1 AS o_totalprice").write.parquet(f"{tmp_path}/orders.parquet")
+    registry.load()
+    found = registry.QUERIES["approx_aggregates"](spark, str(tmp_path))
+    assert tuple(found.first()) == (True, True)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "approx_count_distinct" in line and "keys=[o_custkey" in line]
