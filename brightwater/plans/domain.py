@@ -51,19 +51,21 @@ def _phrase(spark, sf_dir):
     return table(spark, sf_dir, "documents").where(search.phrase(F.col("text"), ["the", "mit", "license"])).select("doc_id")
 
 
+_LINKS = [("orders", "c", "o_custkey", "o", "o_orderkey"), ("orders", "o", "o_orderkey", "c", "o_custkey"), ("lineitem", "o", "l_orderkey", "p", "l_partkey"), ("lineitem", "o", "l_orderkey", "s", "l_suppkey"), ("supplier", "s", "s_suppkey", "n", "s_nationkey"), ("nation", "n", "n_nationkey", "r", "n_regionkey")]
+
+
+def _links(spark, sf_dir):
+    """(kind of source, kind of target, keys) of customers and their orders both ways, orders to parts and suppliers, those to nations, nations to regions: whole keys, all rows."""
+    for name, a, src, b, dst in _LINKS:
+        yield a, b, table(spark, sf_dir, name).select(F.col(src).cast("long").alias("src"), F.col(dst).cast("long").alias("dst")).where("src is not null and dst is not null")
+
+
+def _named(kind, key):
+    return F.concat(F.lit(kind), F.col(key).cast("string"))
+
+
 def _whole_edges(spark, sf_dir):
-    """Customers and their orders both ways, orders to parts and suppliers, those to nations, nations to regions: whole keys, all rows."""
-    o, i, s, n = (table(spark, sf_dir, name) for name in ("orders", "lineitem", "supplier", "nation"))
-    node = lambda kind, key: F.concat(F.lit(kind), F.col(key).cast("string"))
-    pairs = [
-        (o, node("c", "o_custkey"), node("o", "o_orderkey")),
-        (o, node("o", "o_orderkey"), node("c", "o_custkey")),
-        (i, node("o", "l_orderkey"), node("p", "l_partkey")),
-        (i, node("o", "l_orderkey"), node("s", "l_suppkey")),
-        (s, node("s", "s_suppkey"), node("n", "s_nationkey")),
-        (n, node("n", "n_nationkey"), node("r", "n_regionkey")),
-    ]
-    return reduce(DataFrame.unionAll, [t.select(src.alias("src"), dst.alias("dst")) for t, src, dst in pairs]).where("src is not null and dst is not null").distinct()
+    return reduce(DataFrame.unionAll, [e.select(_named(a, "src").alias("src"), _named(b, "dst").alias("dst")) for a, b, e in _links(spark, sf_dir)]).distinct()
 
 
 _W = """e AS (SELECT DISTINCT src, dst FROM (
@@ -75,8 +77,14 @@ _W = """e AS (SELECT DISTINCT src, dst FROM (
 
 @register("graph_two_hop", f"WITH {_W} SELECT DISTINCT a.src, b.dst FROM e a JOIN e b ON a.dst = b.src")
 def _two_hop(spark, sf_dir):
-    e = _whole_edges(spark, sf_dir)
-    return e.alias("a").join(e.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst").distinct()
+    """By kinds, as keys: no two chains of kinds give the same pair, so each is made distinct by itself and named last."""
+    links, found = list(_links(spark, sf_dir)), {}
+    for a, b, e in links:
+        for c, d, f in links:
+            if b == c:
+                hops = e.alias("a").join(f.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst")
+                found[a, d] = found[a, d].unionAll(hops) if (a, d) in found else hops
+    return reduce(DataFrame.unionAll, [h.repartition("src", "dst").distinct().select(_named(a, "src").alias("src"), _named(d, "dst").alias("dst")) for (a, d), h in found.items()])
 
 
 @register("graph_reachable", f"WITH RECURSIVE {_W}, r AS (SELECT DISTINCT src AS start, src AS node, 0 AS depth FROM e WHERE src LIKE 'c%' UNION SELECT r.start, e.dst, r.depth + 1 FROM r JOIN e ON r.node = e.src WHERE r.depth < 6) SELECT start, node, min(depth) AS depth FROM r GROUP BY start, node HAVING min(depth) >= 1")

@@ -36,3 +36,12 @@ def test_graphs_of_keys(spark, tmp_path):
         paths += rows
     got = run("graph_paths")
     assert sorted(tuple(p) for *_, p in got) == sorted(paths) and all((s, n) == (p[0], p[-1]) for s, n, p in got)
+
+
+def test_two_hops_shuffle_keys(spark, tmp_path):
+    """Nodes get their names after the joins and the distinct: once a chain of kinds and side."""
+    registry.load()
+    for name, rows, columns in (("orders", ORDERS, "o_orderkey long, o_custkey long"), ("lineitem", ITEMS, "l_orderkey long, l_partkey long, l_suppkey long"), ("supplier", SUPPLIERS, "s_suppkey long, s_nationkey int"), ("nation", NATIONS, "n_nationkey int, n_regionkey int")):
+        spark.createDataFrame(rows, columns).write.parquet(f"{tmp_path}/{name}.parquet")
+    lines = registry.QUERIES["graph_two_hop"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert len([x for x in lines if "concat(" in x]) == 6
