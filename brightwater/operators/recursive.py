@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import scratch, shared_dir
 
 
 def _cut(df: DataFrame) -> DataFrame:
@@ -34,15 +34,32 @@ def union_distinct(seed: DataFrame, step: Callable[[DataFrame], DataFrame], limi
     raise RuntimeError(f"recursion did not end in {limit} rounds")
 
 
+#: Nodes that are sent to all tasks to pick the rows seen before that a step can meet.
+FEW = 100_000
+
+
+def _written(df: DataFrame) -> DataFrame:
+    place = scratch(df.sparkSession, "frontier")
+    df.write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
+
+
 def reachable(edges: DataFrame, start: DataFrame, low: int = 1, high: int = 32) -> DataFrame:
-    """(start, node, depth): nodes within low..high hops over (src, dst), at their least depth."""
+    """(start, node, depth): nodes within low..high hops over (src, dst), at their least depth.
+
+    Edges are written once.  Where a step comes to few nodes, only the rows seen
+    before at these nodes are held against it.
+    """
     if high > 32:
         raise ValueError("at most 32 hops")
-    frontier = start.select(F.col(start.columns[0]).alias("start"), F.col(start.columns[0]).alias("node")).distinct().withColumn("depth", F.lit(0))
-    seen = [_cut(frontier)]
+    edges = _written(edges.select("src", "dst"))
+    seen = [_written(start.select(F.col(start.columns[0]).alias("start"), F.col(start.columns[0]).alias("node")).distinct().withColumn("depth", F.lit(0)))]
     for depth in range(1, high + 1):
-        step = seen[-1].join(edges, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
-        frontier = _cut(step.join(_all(seen), ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        step = _written(seen[-1].join(edges, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct())
+        before, nodes = _all(seen).select("start", "node"), step.select("node").distinct()
+        if nodes.limit(FEW + 1).count() <= FEW:
+            before = before.join(F.broadcast(nodes), "node", "left_semi")
+        frontier = _written(step.join(before, ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
         seen.append(frontier)

@@ -89,8 +89,17 @@ def _two_hop(spark, sf_dir):
 
 @register("graph_reachable", f"WITH RECURSIVE {_W}, r AS (SELECT DISTINCT src AS start, src AS node, 0 AS depth FROM e WHERE src LIKE 'c%' UNION SELECT r.start, e.dst, r.depth + 1 FROM r JOIN e ON r.node = e.src WHERE r.depth < 6) SELECT start, node, min(depth) AS depth FROM r GROUP BY start, node HAVING min(depth) >= 1")
 def _reachable(spark, sf_dir):
-    e = _whole_edges(spark, sf_dir)
-    return recursive.reachable(e, e.where("src LIKE 'c%'").select("src"), 1, 6)
+    """Nodes as numbers, key * 8 and the place of the kind, named last; by their names where a key has over 60 bits."""
+    kinds, links = "copsnr", list(_links(spark, sf_dir))
+    widest = reduce(DataFrame.unionAll, [e.agg(F.min(F.least("src", "dst")).alias("low"), F.max(F.greatest("src", "dst")).alias("high")) for *_, e in links]).agg(F.min("low"), F.max("high")).first()
+    if not all(x is None or -(2**60) <= x < 2**60 for x in widest):
+        e = _whole_edges(spark, sf_dir)
+        return recursive.reachable(e, e.where("src LIKE 'c%'").select("src"), 1, 6)
+    number = lambda kind, key: F.col(key) * 8 + kinds.index(kind)
+    name = lambda node: F.concat(F.substring(F.lit(kinds), (F.pmod(node, F.lit(8)) + 1).cast("int"), F.lit(1)), F.shiftright(node, 3).cast("string"))
+    edges = reduce(DataFrame.unionAll, [e.select(number(a, "src").alias("src"), number(b, "dst").alias("dst")) for a, b, e in links])
+    found = recursive.reachable(edges, edges.where("pmod(src, 8) = 0").select("src"), 1, 6)
+    return found.select(name(F.col("start")).alias("start"), name(F.col("node")).alias("node"), "depth")
 
 
 @register("graph_paths", f"WITH RECURSIVE {_W}, r AS (SELECT 'c1' AS start, 'c1' AS node, ['c1'] AS path UNION ALL SELECT r.start, e.dst, list_append(path, e.dst) FROM r JOIN e ON r.node = e.src WHERE len(path) <= 4 AND NOT list_contains(path, e.dst)) SELECT start, node, path FROM r WHERE len(path) > 1")

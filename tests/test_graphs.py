@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from brightwater.operators import recursive
 from brightwater.plans import registry
 
 ORDERS = [(10, 1), (11, 1), (12, 2), (13, 45), (14, None)]
@@ -45,3 +46,13 @@ def test_two_hops_shuffle_keys(spark, tmp_path):
         spark.createDataFrame(rows, columns).write.parquet(f"{tmp_path}/{name}.parquet")
     lines = registry.QUERIES["graph_two_hop"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString().splitlines()
     assert len([x for x in lines if "concat(" in x]) == 6
+
+
+def test_reachable_writes_edges_once(spark, monkeypatch):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4)], "src long, dst long")
+    written, keep = [], recursive._written
+    monkeypatch.setattr(recursive, "_written", lambda df: written.append(df.columns) or keep(df))
+    monkeypatch.setattr(recursive, "FEW", 1)
+    found = recursive.reachable(edges, edges.select("src"), 1, 2)
+    assert written.count(["src", "dst"]) == 1
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 2, 1), (1, 3, 2), (2, 1, 2), (2, 3, 1), (2, 4, 2), (3, 1, 1), (3, 2, 2), (3, 4, 1)]
